@@ -8,22 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Inputs under this many bytes are spread over the cores before Python work; larger ones already come in enough splits.
+#: Inputs under this many bytes, often one file and so one task, are spread over the cores before Python work; larger ones come in enough splits.
 SMALL_INPUT = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named table, pruned to the columns, spread over the cores if it is small."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df.select(*columns) if columns else df)
+    small = scan_bytes(df) <= SMALL_INPUT
+    df = df.select(*columns) if columns else df
+    return df.repartition(max(2, spark.sparkContext.defaultParallelism)) if small else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a small input, whose single file would otherwise be one task; leave a large one as it is scanned."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SMALL_INPUT:
-        return df
-    return df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism))
+def scan_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the input's bytes on disk."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shared_dir(spark: SparkSession) -> str:
