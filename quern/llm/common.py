@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.plans.durable import cut, shared_dir  # noqa: F401
+
 #: Inputs under this many bytes, often one file and so one task, are spread over the cores before Python work; larger ones come in enough splits.
 SMALL_INPUT = 64 << 20
 
@@ -25,43 +24,6 @@ def scan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        if not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/quern-{sc.applicationId}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:
-        pass
-
-
-_registered: set[str] = set()
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and the loss of an executor costs nothing."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    if base not in _registered:
-        _registered.add(base)
-        atexit.register(_remove, spark, base)
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int | None = None) -> DataFrame:
     """A dense 0-based rank within the keys, without ever putting a whole key into one task.
 
