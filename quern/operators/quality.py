@@ -38,8 +38,8 @@ def comment_ratio_ok(c: str, least: float = MIN_COMMENTS, most: float = MAX_COMM
 
 
 def cheap_reason(c: str) -> Column:
-    """The first cheap predicate that fails, or 'passed': all inside one generated stage."""
-    return F.when(~long_enough(c), "length").when(~line_lengths_ok(c), "line_length").when(~comment_ratio_ok(c), "comment_ratio").otherwise("passed")
+    """The first cheap predicate that fails, or 'passed': all inside one generated stage. A null text fails by length."""
+    return F.when(F.col(c).isNull() | ~long_enough(c), "length").when(~line_lengths_ok(c), "line_length").when(~comment_ratio_ok(c), "comment_ratio").otherwise("passed")
 
 
 def cascade(df: DataFrame, text: str = "content", tag: str | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def cascade(df: DataFrame, text: str = "content", tag: str | None = None) -> Dat
 
     Only rows that pass the cheap predicates are parsed: the parser gets a null for the others. A docstring is required
     of every row, or of those tagged stack where a tag column is named. A null text fails by length."""
-    out = df.withColumn("_cheap", F.coalesce(cheap_reason(text), F.lit("length")))
+    out = df.withColumn("_cheap", cheap_reason(text))
     out = out.withColumn("_ast", python_features(F.when(F.col("_cheap") == "passed", F.col(text))))
     needs = F.lit(True) if tag is None else F.coalesce(F.col(tag) == "stack", F.lit(False))
     reason = F.when(F.col("_cheap") != "passed", F.col("_cheap")).when(~F.col("_ast.ok"), "syntax").when(needs & ~F.col("_ast.has_docstring"), "docstring").otherwise("passed")

@@ -70,7 +70,7 @@ def jsonl_report(spark: SparkSession, path: str, schema: T.StructType = CHECKPOI
 
 def source_tree(spark: SparkSession, *paths: str, pattern: str = "*.py") -> DataFrame:
     """(path, content) of the files under the paths, whole, in the order of their names."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).orderBy("path")
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")).orderBy("path")
 
 
 def archives(spark: SparkSession, path: str, limit: int | None = None, suffix: str = ".py") -> DataFrame:
