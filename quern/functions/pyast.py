@@ -13,9 +13,23 @@ from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("has_docstring", T.BooleanType()), T.StructField("cyclomatic", T.DoubleType()), T.StructField("max_nesting", T.IntegerType()), T.StructField("unique_identifiers", T.IntegerType()), T.StructField("error", T.StringType())])
 _FAILURES = (SyntaxError, ValueError, RecursionError, MemoryError)
-_BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension)
-_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_SCOPES = (*_FUNCTIONS, ast.ClassDef, ast.If, ast.For, ast.While, ast.With, ast.Try)
+_BRANCHES = frozenset((ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension))
+_FUNCTIONS = frozenset((ast.FunctionDef, ast.AsyncFunctionDef))
+_DOCUMENTED = _FUNCTIONS | {ast.ClassDef}
+_SCOPES = _DOCUMENTED | {ast.If, ast.For, ast.While, ast.With, ast.Try}
+#: Fields that hold no nodes worth a visit.
+_PLAIN = frozenset("ctx op ops id attr arg name names level module type_comment kind value_kind asname simple is_async lineno rest".split())
+
+
+class _Fields(dict):
+    """Node type -> its fields that can hold other nodes."""
+
+    def __missing__(self, kind: type) -> tuple[str, ...]:
+        self[kind] = got = () if kind in (ast.Constant, ast.Pass, ast.alias) else tuple(f for f in kind._fields if f not in _PLAIN)
+        return got
+
+
+_CHILDREN = _Fields()
 
 
 def features(source: str | None) -> tuple:
@@ -38,17 +52,28 @@ def features(source: str | None) -> tuple:
     todo: list[tuple[ast.AST, int]] = [(tree, 0)]
     while todo:  # an explicit stack: depth is not bounded by the interpreter's
         node, depth = todo.pop()
-        deepest = max(deepest, depth)
-        if isinstance(node, _BRANCHES):
-            branches += 1
-        if isinstance(node, _FUNCTIONS):
-            functions += 1
-        if isinstance(node, ast.Name):
+        kind = type(node)
+        if kind is ast.Name:
             names.add(node.id)
-        if not documented and isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
-            documented = bool(ast.get_docstring(node))
-        for child in ast.iter_child_nodes(node):
-            todo.append((child, depth + isinstance(child, _SCOPES)))
+            continue
+        if kind in _SCOPES:
+            depth += 1
+            if depth > deepest:
+                deepest = depth
+            if kind in _FUNCTIONS:
+                functions += 1
+            if not documented and kind in _DOCUMENTED:
+                documented = bool(ast.get_docstring(node))
+        if kind in _BRANCHES:
+            branches += 1
+        for field in _CHILDREN[kind]:
+            v = getattr(node, field, None)
+            if v.__class__ is list:
+                for x in v:
+                    if isinstance(x, ast.AST):
+                        todo.append((x, depth))
+            elif isinstance(v, ast.AST):
+                todo.append((v, depth))
     cyclomatic = 1.0 + (branches / functions if functions else branches * 0.5)
     return True, documented, cyclomatic, deepest, len(names), None
 

@@ -29,6 +29,32 @@ def lines(c) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+LINE_STATS = T.StructType([T.StructField(x, T.IntegerType()) for x in ("lines", "long", "solid", "marked")])
+
+
+def line_stats(c, most: int = 1000, mark: str = "#") -> Column:
+    """struct(lines, long, solid, marked): lines, those longer than most characters, those not blank, and those that
+    begin with the mark after blanks; nulls for a null text.
+
+    One vectorised pass in Python: the same counts by regular expressions or split arrays took eight times as long."""
+
+    @F.pandas_udf(LINE_STATS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            rows = []
+            for t in s:
+                if t is None:
+                    rows.append((None,) * 4)
+                    continue
+                every = t.splitlines()
+                solid = [x for x in map(str.strip, every) if x]
+                longs = sum(len(x) > most for x in every) if len(t) > most else 0
+                rows.append((len(every), longs, len(solid), sum(x.startswith(mark) for x in solid)))
+            yield pd.DataFrame(rows, columns=LINE_STATS.names).astype("Int32")
+
+    return run(col(c))
+
+
 def strip(c) -> Column:
     return F.regexp_replace(col(c), f"^[{WS}]+|[{WS}]+\\z", "")
 

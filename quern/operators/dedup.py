@@ -21,7 +21,6 @@ from quern.functions.text import normalised
 from quern.plans.durable import cut
 
 SHINGLE, PERMUTATIONS, BANDS, ROWS = 5, 128, 8, 16
-_PRIME = (1 << 31) - 1
 _RUN = re.compile(r"[^\S\n]+")
 
 
@@ -33,19 +32,32 @@ def shingles(text: str, k: int = SHINGLE) -> set[str]:
 
 def _family(seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(1, _PRIME, PERMUTATIONS, dtype=np.int64), rng.integers(0, _PRIME, PERMUTATIONS, dtype=np.int64)
+    return rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
 
 _A, _B = _family()
 
 
+def shingle_hashes(text: str, k: int = SHINGLE) -> np.ndarray:
+    """Distinct 32-bit hashes of the shingles, computed over all windows at once."""
+    text = _RUN.sub(" ", unicodedata.normalize("NFC", text)).strip()
+    if len(text) < k:
+        return np.array([zlib.crc32(text.encode("utf-8", "surrogatepass"))], np.uint64)
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(c) - k + 1, np.uint64)
+    for i in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[i : i + len(h)] + np.uint64(1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((h ^ (h >> np.uint64(27))) >> np.uint64(32))
+
+
 def signature(text: str) -> np.ndarray:
-    """128 minima of (a h + b) mod (2^31 - 1) over 31-bit CRC hashes of the shingles."""
-    h = np.fromiter({zlib.crc32(s.encode("utf-8", "surrogatepass")) & 0x7FFFFFFF for s in shingles(text)}, np.int64)
-    out = np.full(PERMUTATIONS, np.iinfo(np.int64).max)
-    for lo in range(0, len(h), 4096):
-        out = np.minimum(out, ((h[None, lo : lo + 4096] * _A[:, None] + _B[:, None]) % _PRIME).min(axis=1))
-    return out
+    """128 minima of (a h + b mod 2^64) >> 33 over the shingles' hashes (multiply-shift hashing)."""
+    h = shingle_hashes(text)
+    out = np.full(PERMUTATIONS, np.iinfo(np.uint64).max)
+    for lo in range(0, len(h), 2048):
+        out = np.minimum(out, (h[None, lo : lo + 2048] * _A[:, None] + _B[:, None]).min(axis=1))
+    return (out >> np.uint64(33)).astype(np.int64)
 
 
 def signatures(df: DataFrame, id_col: str = "seq", text_col: str = "content") -> DataFrame:

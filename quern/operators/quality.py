@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.pyast import python_features
-from quern.functions.text import WS, lines, newline_count
+from quern.functions.text import line_stats, newline_count
 
 #: Thresholds (fixed values).
 MIN_CHARS, MIN_LINES, MAX_LINE, MAX_LONG, MIN_COMMENTS, MAX_COMMENTS = 100, 5, 1000, 0.2, 0.01, 0.80
@@ -16,30 +16,24 @@ def long_enough(c: str) -> Column:
     return (F.length(c) >= MIN_CHARS) & (newline_count(c) >= MIN_LINES)
 
 
-def long_lines(c: str, most: int = MAX_LINE) -> Column:
-    return F.size(F.filter(lines(c), lambda x: F.length(x) > most))
+def line_lengths_ok(stats: Column, share: float = MAX_LONG) -> Column:
+    """Of line_stats: at most the share of the lines is too long; a text without lines fails."""
+    return (stats["lines"] > 0) & (stats["long"] / F.greatest(stats["lines"], F.lit(1)) <= F.lit(share))
 
 
-def line_lengths_ok(c: str, most: int = MAX_LINE, share: float = MAX_LONG) -> Column:
-    n = F.size(lines(c))
-    return (n > 0) & (long_lines(c, most) / F.greatest(n, F.lit(1)) <= F.lit(share))
+def comment_ratio_ok(stats: Column, least: float = MIN_COMMENTS, most: float = MAX_COMMENTS) -> Column:
+    """Of line_stats: the share of comments among the lines that are not blank; a text without such lines fails."""
+    ratio = stats["marked"] / F.greatest(stats["solid"], F.lit(1))
+    return (stats["solid"] > 0) & (ratio >= F.lit(least)) & (ratio <= F.lit(most))
 
 
-def comment_counts(c: str, mark: str = "#") -> tuple[Column, Column]:
-    """(lines that are not blank, lines whose first mark is the comment mark)."""
-    every = lines(c)
-    return F.size(F.filter(every, lambda x: x.rlike(f"[^{WS}]"))), F.size(F.filter(every, lambda x: x.rlike(f"^[{WS}]*{mark}")))
-
-
-def comment_ratio_ok(c: str, least: float = MIN_COMMENTS, most: float = MAX_COMMENTS) -> Column:
-    solid, comments = comment_counts(c)
-    ratio = comments / F.greatest(solid, F.lit(1))
-    return (solid > 0) & (ratio >= F.lit(least)) & (ratio <= F.lit(most))
-
-
-def cheap_reason(c: str) -> Column:
-    """The first cheap predicate that fails, or 'passed': all inside one generated stage. A null text fails by length."""
-    return F.when(F.col(c).isNull() | ~long_enough(c), "length").when(~line_lengths_ok(c), "line_length").when(~comment_ratio_ok(c), "comment_ratio").otherwise("passed")
+def with_cheap_reason(df: DataFrame, c: str, out: str = "reason") -> DataFrame:
+    """df with the first cheap predicate that fails, or 'passed'. Lines are counted for texts that are long enough only;
+    a null text fails by length."""
+    long = F.coalesce(long_enough(c), F.lit(False))
+    rows = df.withColumn("_lines", line_stats(F.when(long, F.col(c)), MAX_LINE))
+    reason = F.when(~long, "length").when(~line_lengths_ok(F.col("_lines")), "line_length").when(~comment_ratio_ok(F.col("_lines")), "comment_ratio").otherwise("passed")
+    return rows.withColumn(out, reason).drop("_lines")
 
 
 def cascade(df: DataFrame, text: str = "content", tag: str | None = None) -> DataFrame:
@@ -47,7 +41,7 @@ def cascade(df: DataFrame, text: str = "content", tag: str | None = None) -> Dat
 
     Only rows that pass the cheap predicates are parsed: the parser gets a null for the others. A docstring is required
     of every row, or of those tagged stack where a tag column is named. A null text fails by length."""
-    out = df.withColumn("_cheap", cheap_reason(text))
+    out = with_cheap_reason(df, text, "_cheap")
     out = out.withColumn("_ast", python_features(F.when(F.col("_cheap") == "passed", F.col(text))))
     needs = F.lit(True) if tag is None else F.coalesce(F.col(tag) == "stack", F.lit(False))
     reason = F.when(F.col("_cheap") != "passed", F.col("_cheap")).when(~F.col("_ast.ok"), "syntax").when(needs & ~F.col("_ast.has_docstring"), "docstring").otherwise("passed")

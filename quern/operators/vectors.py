@@ -14,10 +14,17 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once a row: a lambda variable holds it wherever the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(v: Column, temperature: float = 1.0) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - top) / F.lit(temperature)))
-    return F.transform(e, lambda x: x / total(e))
+    def exps(s: Column) -> Column:
+        return F.transform(s["v"], lambda x: F.exp((x - s["top"]) / F.lit(temperature)))
+
+    shifted = bound(F.struct(v.alias("v"), F.array_max(v).alias("top")), exps)
+    return bound(shifted, lambda e: bound(F.struct(e.alias("e"), total(e).alias("sum")), lambda s: F.transform(s["e"], lambda x: x / s["sum"])))
 
 
 def argmax(v: Column) -> Column:
@@ -26,8 +33,7 @@ def argmax(v: Column) -> Column:
 
 
 def logsumexp(v: Column) -> Column:
-    top = F.array_max(v)
-    return F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top))) + top
+    return bound(F.struct(v.alias("v"), F.array_max(v).alias("top")), lambda s: F.log(F.aggregate(s["v"], F.lit(0.0), lambda a, x: a + F.exp(x - s["top"]))) + s["top"])
 
 
 def cross_entropy(v: Column, target: Column) -> Column:
@@ -36,7 +42,7 @@ def cross_entropy(v: Column, target: Column) -> Column:
 
 def rms_norm(v: Column, eps: float = 1e-6) -> Column:
     scale = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x) / F.size(v) + F.lit(eps))
-    return F.transform(v, lambda x: x / scale)
+    return bound(F.struct(v.alias("v"), scale.alias("scale")), lambda s: F.transform(s["v"], lambda x: x / s["scale"]))
 
 
 def silu(x: Column) -> Column:

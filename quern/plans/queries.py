@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quern.catalog import query
 from quern.functions import tokens as tok
 from quern.functions.pyast import python_features
-from quern.functions.text import WS, function_name, indented_prompt, inserted, joined_parts, lines, newline_count, normalised, strip, truncated
+from quern.functions.text import WS, function_name, indented_prompt, inserted, joined_parts, line_stats, lines, newline_count, normalised, strip, truncated
 from quern.operators import curriculum, dedup, evaluation, packing, quality, training, vectors
 from quern.operators.prefix import running_sum
 from quern.operators.qa import accepted_pairs, documents
@@ -193,8 +193,8 @@ select seq, n_lines, long_lines, n_lines > 0 and long_lines / greatest(n_lines,
 """)
 def long_line_fraction(spark, sf_dir):
     """F2, X3 with 80 characters as the limit, so that values vary."""
-    rows = _stack(spark, sf_dir).filter("content is not null")
-    return rows.select("seq", F.size(lines("content")).alias("n_lines"), quality.long_lines("content", 80).alias("long_lines"), quality.line_lengths_ok("content", 80).alias("ok"))
+    rows = spread(_stack(spark, sf_dir).filter("content is not null").select("seq", "content")).select("seq", line_stats("content", 80).alias("s"))
+    return rows.select("seq", F.col("s.lines").alias("n_lines"), F.col("s.long").alias("long_lines"), quality.line_lengths_ok(F.col("s")).alias("ok"))
 
 
 _COMMENTS = f"""len(list_filter(ls, lambda x: regexp_matches(x, '[^{_WS}]'))) as solid, len(list_filter(ls, lambda x: regexp_matches(x, '^[{_WS}]*#'))) as comments"""
@@ -206,9 +206,8 @@ from (select seq, {_COMMENTS} from (select seq, {_lines("content")} as ls from s
 """)
 def comment_ratio(spark, sf_dir):
     """F3."""
-    solid, comments = quality.comment_counts("content")
-    rows = _stack(spark, sf_dir).filter("content is not null")
-    return rows.select("seq", solid.alias("solid"), comments.alias("comments"), quality.comment_ratio_ok("content").alias("ok"))
+    rows = spread(_stack(spark, sf_dir).filter("content is not null").select("seq", "content")).select("seq", line_stats("content").alias("s"))
+    return rows.select("seq", F.col("s.solid").alias("solid"), F.col("s.marked").alias("comments"), quality.comment_ratio_ok(F.col("s")).alias("ok"))
 
 
 _REASON = f"""
@@ -222,15 +221,15 @@ g as (select tag, case when n < 100 or nl < 5 then 'length' when k = 0 or longs
 @query(_QA + _TAGGED + _REASON + "select tag, reason, count(*) as n from g group by all")
 def quality_reason_counts(spark, sf_dir):
     """The first cheap predicate that a text fails, by source."""
-    return tagged(spark, sf_dir).select("tag", quality.cheap_reason("text").alias("reason")).groupBy("tag", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return quality.with_cheap_reason(spread(tagged(spark, sf_dir).select("tag", "text")), "text").groupBy("tag", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_QA + _TAGGED + _REASON + "select count(*) as total, count(*) filter (reason = 'passed') as passed, count(*) filter (reason = 'passed') * cast(100 as double) / greatest(count(*), 1) as pass_pct from g")
 def quality_pass_rate(spark, sf_dir):
     """A1: the pass rate of the cheap predicates."""
-    ok = F.count(F.when(quality.cheap_reason("text") == "passed", 1))
+    ok = F.count(F.when(F.col("reason") == "passed", 1))
     n = F.count(F.lit(1))
-    return tagged(spark, sf_dir).agg(n.alias("total"), ok.alias("passed"), (ok * F.lit(100.0) / F.greatest(n, F.lit(1))).alias("pass_pct"))
+    return quality.with_cheap_reason(spread(tagged(spark, sf_dir).select("text")), "text").agg(n.alias("total"), ok.alias("passed"), (ok * F.lit(100.0) / F.greatest(n, F.lit(1))).alias("pass_pct"))
 
 
 @query()
@@ -253,14 +252,14 @@ _NORMAL = _strip(f"regexp_replace(nfc_normalize(content), '[{_HWS}]+', ' ', 'g')
 @query(f"select seq, length(t) as n_chars, md5(t) as digest from (select seq, {_NORMAL} as t from stream_stack_all where content is not null)")
 def normalize_text(spark, sf_dir):
     """Normal form C, runs of blanks to one, stripped."""
-    rows = _stack(spark, sf_dir).filter("content is not null").select("seq", normalised("content").alias("t"))
+    rows = spread(_stack(spark, sf_dir).filter("content is not null").select("seq", "content")).select("seq", normalised("content").alias("t"))
     return rows.select("seq", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
 
 
 @query(f"select md5(t) as digest, min(seq) as first, count(*) as copies from (select seq, {_NORMAL} as t from stream_stack_all where content is not null) group by 1")
 def exact_dedup(spark, sf_dir):
     """Distinct normalised texts, the first row of each."""
-    return dedup.exact_dedup(_stack(spark, sf_dir).select("seq", "content"))
+    return dedup.exact_dedup(spread(_stack(spark, sf_dir).select("seq", "content")))
 
 
 @query(f"""
@@ -306,7 +305,7 @@ g as (select *, case when tag in ('curated', 'stdlib') then 3 when composite <=
 
 
 def _surrogate(spark, sf_dir) -> DataFrame:
-    rows = tagged(spark, sf_dir).withColumn("ls", lines("text"))
+    rows = spread(tagged(spark, sf_dir)).withColumn("ls", lines("text"))
     deep = F.coalesce(F.array_max(F.transform("ls", lambda x: F.floor((F.length(x) - F.length(F.ltrim(x))) / 4))), F.lit(0))
     words = F.size(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z_]+"), F.lit(0))))
     rows = rows.select("rank", "id", "tag", "text", F.size("ls").alias("n_lines"), deep.alias("deep"), words.alias("words"))
@@ -426,9 +425,9 @@ def batch_rows(spark, sf_dir):
 def packed_roundtrip(spark, sf_dir):
     """Texts encoded with an end mark, written as 16-bit ids in stream order, and read again."""
     packed.register(spark)
-    rows = spread(tagged(spark, sf_dir).select("rank", "id", "text"))
+    rows = packed.arranged(tagged(spark, sf_dir).select("rank", "id", "text"), ["rank", "id"])
     folder = fresh_path(spark, "packed").removeprefix("file://")
-    said = packed.write(rows.select("rank", "id", tok.encode(F.col("text"), add_eof=True).alias("ids")), ["rank", "id"], "ids", folder)
+    said = packed.write(rows.select("rank", "id", tok.encode(F.col("text"), add_eof=True).alias("ids")), "ids", folder)
     got = spark.read.format("packed_tokens").option("path", folder).load()
     end = tok.special_ids()["eof"]
     out = got.agg(F.count(F.lit(1)).alias("tokens_read"), F.sum((F.col("token") == end).cast("int")).alias("end_marks"), (F.max("pos") + 1).alias("positions"))

@@ -23,10 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scan_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the bytes that the leaves of a plan read: joins above them do not blow it up."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame, least_bytes: int = 64 << 20) -> DataFrame:
-    """More tasks for Python work over an input that is one small file; larger inputs come in enough splits."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if size > least_bytes else df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism))
+    """More tasks over an input that is a few small files; larger inputs come in enough splits and are not shuffled."""
+    return df if scan_bytes(df) > least_bytes else df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism))
 
 
 def code_rows(stack: DataFrame, repos: DataFrame) -> DataFrame:

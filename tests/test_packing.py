@@ -83,16 +83,16 @@ def test_packed_file(spark, tmp_path):
     rows = [(i, [i % 65536, 65535, 0][: i % 4]) for i in range(300)]
     df = spark.createDataFrame(rows, "seq long, ids array<int>").repartition(6)
     folder = str(tmp_path / "out")
-    said = packed.write(df, ["seq"], "ids", folder, 4)
+    said = packed.write(packed.arranged(df, ["seq"], 4), "ids", folder)
     flat = [t for _, ids in rows for t in ids]
     assert said["total_tokens"] == len(flat) == packed.token_count(folder) and said["total_files"] == 300
     got = spark.read.format("packed_tokens").option("path", folder).option("stripe", 50).load().orderBy("pos").collect()
     assert [r["token"] for r in got] == flat and [r["pos"] for r in got] == list(range(len(flat)))
     assert np.concatenate([np.fromfile(f, np.uint16) for f in packed.part_files(folder)]).tolist() == flat
     with pytest.raises(FileExistsError):
-        packed.write(df, ["seq"], "ids", folder)
+        packed.write(df, "ids", folder)
     with pytest.raises(Exception, match="16 bits"):
-        packed.write(spark.createDataFrame([(1, [65536])], "seq long, ids array<int>"), ["seq"], "ids", str(tmp_path / "bad"))
+        packed.write(spark.createDataFrame([(1, [65536])], "seq long, ids array<int>"), "ids", str(tmp_path / "bad"))
     with pytest.raises(Exception):
         packed.token_count(str(tmp_path / "missing"))
 

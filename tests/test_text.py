@@ -20,6 +20,9 @@ def test_lines_counts_and_blanks_follow_python(rows):
     assert column(rows, T.newline_count("t")) == [t.count("\n") for t in TEXTS]
     assert column(rows, T.strip("t")) == [t.strip() for t in TEXTS]
     assert column(rows, T.rstrip("t")) == [t.rstrip() for t in TEXTS]
+    stats = column(rows, T.line_stats("t", 1000))
+    assert [s["lines"] for s in stats] == [len(t.splitlines()) for t in TEXTS] and [s["long"] for s in stats] == [sum(len(x) > 1000 for x in t.splitlines()) for t in TEXTS]
+    assert [s["solid"] for s in stats] == [sum(bool(x.strip()) for x in t.splitlines()) for t in TEXTS] and [s["marked"] for s in stats] == [sum(x.strip().startswith("#") for x in t.splitlines()) for t in TEXTS]
     assert column(rows, T.is_blank("t")) == [not t.strip() for t in TEXTS]
 
 
@@ -47,7 +50,7 @@ def test_prompts_and_stops(spark):
 
 @pytest.mark.parametrize("text,reason", [("x" * 99, "length"), ("x" * 95 + "\n" * 4, "length"), (("x" * 20 + "\n") * 5, "comment_ratio"), ("# c\n" + ("x" * 20 + "\n") * 6, "passed"), (("x" * 1001 + "\n") + "# c\n" * 3 + "y\n", "passed"), (("x" * 1001 + "\n") * 2 + "# c\n" * 3 + "y\n" * 2, "line_length"), (("x" * 1000 + "\n") * 2 + "# c\n" + "y\n" * 3, "passed"), ("# " + "c" * 40 + "\n" + "\n" * 70, "comment_ratio"), ("# c" * 30 + "\n" + "# d\n" * 3 + "y\n", "passed"), ("  # c\n" * 5 + "x" * 90 + "\n" * 1, "comment_ratio"), ("x = 1 # c" * 20 + "\n" * 6, "comment_ratio")])
 def test_first_failure(spark, text, reason):
-    assert spark.createDataFrame([(text,)], "t string").select(quality.cheap_reason("t")).first()[0] == reason
+    assert spark.createDataFrame([(text,)], "t string").transform(lambda d: quality.with_cheap_reason(d, "t")).first()["reason"] == reason
 
 
 def test_cascade_needs_docstrings_of_one_tag_only(spark):
