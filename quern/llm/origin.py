@@ -30,7 +30,7 @@ from quern.llm.common import cut
 TINY = 100
 SAMPLE = 8000
 #: From this score the forest is believed without a form that can be named.
-SURE = 0.6
+SURE = 0.66
 TREES, DEPTH, CUTS, SEED = 24, 7, 32, 11
 FEATURES = ("compression", "token_entropy", "char_entropy", "identifier_length", "short_identifiers", "comment_density", "line_length", "longest_line", "digits", "marks", "spaces", "distinct_tokens", "repeated_shape", "literals", "keywords", "statements_a_line")
 

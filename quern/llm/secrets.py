@@ -44,10 +44,10 @@ _MORE = re.compile(r"\s*(?:[+][ \t]*)?[rRbBuU]{0,2}([\"'])((?:(?!\1)[^\\\n]|\\.)
 _FORMAT_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "_live_", "sk_test_", "sk-", "AIza", "ya29.", "SG.", "npm_", "pypi-", "hf_", "dop_v1_", "shpat_", "eyJ")
 
 #: Names whose values are no secrets though they hold a word for one.
-_NOT_A_SECRET = re.compile(r"(?i)(?:url|uri|field|file|path|name|label|column|header|hint|regex|pattern|param|length|len|size|type|kind|count|limit|format|prompt|env|var|ttl|expiry|expires|endpoint|sha\d*|md5|hash|checksum|digest|fingerprint|commit|public[\w-]*)\Z|public|hash|checksum|sha\d|md5")
+_NOT_A_SECRET = re.compile(r"(?i)(?:url|uri|field|file|path|name|label|column|header|hint|regex|pattern|param|length|len|size|type|kind|count|limit|format|prompt|env|var|ttl|expiry|expires|endpoint|sha\d*|md5|hash|checksum|digest|fingerprint|commit|hashed)\Z|public[_-]?key|hashed[_-]|(?:^|[_-])(?:sha\d+|md5)(?:[_-]|\Z)")
 _PLACEHOLDER = re.compile(
-    r"(?i)\A(?:[*x.#_\-\s]+|<.*>|\[.*\]|\{.*\}|\$.*|%[sd(].*|%\w+%|.*\{[^}]*\}.*|(?:your|my|insert|enter|put|the)[\w .-]*|.*(?:change_?-?me|placeholder|example|dummy|redacted|hidden|todo|fixme|_here|xxxx|\*{4}|\.\.\.).*"
-    r"|pass(?:word)?\d{0,4}|passwd|secret|token|test\w{0,6}|none|null|nil|true|false|undefined|default|admin|root|guest|user\w*|n/?a|foo\w*|bar|qwerty|abc\d*|123\d*)\Z"
+    r"(?i)\A(?:[*x.#_\-\s]+|<.*>|\[.*\]|\{.*\}|\$.*|%[sd(].*|%\w+%|.*\{[^}]*\}.*|(?:your|my|insert|enter|put|the)[_ .-][\w .-]*|.*(?:change_?-?me|placeholder|example|dummy|redacted|hidden|todo|fixme|_here|xxxx|\*{4}|\.\.\.).*"
+    r"|pass(?:word)?\d{0,4}|passwd|secret|token|test(?:ing|er)?\d{0,4}|none|null|nil|true|false|undefined|default|admin|root|guest|user(?:name)?\d{0,3}|n/?a|foo(?:bar)?|bar|qwerty|abc\d*|123\d*)\Z"
 )
 _NATURAL = re.compile(r"[a-z]+(?:[_. -][a-z]+)*(?:[_. -]?v?\d{1,2})?\Z|[A-Z]+(?:[_ -][A-Z0-9]+)*\Z|[A-Z]?[a-z]+(?:[A-Z][a-z]+)*\Z")
 _UUID = re.compile(r"(?i)[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z")
@@ -94,7 +94,8 @@ class Finder:
         letters, digits = any(map(str.isalpha, value)), any(map(str.isdigit, value))
         if re.fullmatch(r"[a-z]+(?:[._:/-][a-z0-9]+)*", value) and self.density(value) >= UNNATURAL:
             return False
-        return letters and digits and len(set(value)) >= 6 or self.random(value) and len(value) >= 12
+        marked = re.search(r"[^\w./:-]", value) is not None
+        return letters and digits and len(set(value)) >= 6 or self.random(value) and len(value) >= (8 if marked else 12)
 
     def find(self, text: str | None) -> list[tuple[int, int]]:
         """Disjoint intervals [begin, end) of secret values, in order; a private key's begins at its BEGIN line."""
@@ -169,7 +170,7 @@ class Finder:
     def _assigned(self, text: str, m: re.Match) -> bool:
         rest, v = m[2], m[4]
         name = (re.search(r"[\w-]*\Z", text[max(0, m.start() - 60) : m.start()])[0] + m[1] + rest).lower()
-        if re.search(r"public|hash|checksum|sha\d|md5|digest|fingerprint", name) or _NOT_A_SECRET.search(name):
+        if _NOT_A_SECRET.search(name):
             return False
         if re.search(r"passw|passphrase|passcode|pwd|(?<![a-z])pass(?![a-z])", name):
             return self.password(v)
