@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.pyast import python_features
@@ -51,5 +52,5 @@ def cascade(df: DataFrame, text: str = "content", tag: str | None = None) -> Dat
 def counters(reasons: DataFrame) -> DataFrame:
     """(reason, n, share of all in per cent)."""
     by = reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    whole = by.agg(F.sum("n").alias("total"))  # one row
-    return by.join(F.broadcast(whole), F.lit(True)).select("reason", "n", (F.col("n") * F.lit(100.0) / F.greatest("total", F.lit(1))).alias("pct"))
+    total = F.sum("n").over(W.partitionBy(F.lit(1)))  # a row a reason
+    return by.select("reason", "n", (F.col("n") * F.lit(100.0) / F.greatest(total, F.lit(1))).alias("pct"))

@@ -60,4 +60,5 @@ def test_scans_read_only_what_they_need(spark):
 
 def test_no_query_pairs_everything_with_everything(spark):
     for name, q in catalog.QUERIES.items():
-        assert "CartesianProduct" not in plan(q(spark, SF)), name
+        p = plan(q(spark, SF))
+        assert "CartesianProduct" not in p and (name == "stage_of_chunk" or "NestedLoop" not in p), name  # a range join with three rows
