@@ -47,8 +47,8 @@ def quotas(sizes: DataFrame, targets: DataFrame, anchor: str = "stack") -> DataF
     """(source, target_share, max_repeats, available_rows, available_chars, quota_chars, capped): what each should give."""
     have = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("available_rows"), F.sum("size").alias("available_chars"))
     t = targets.join(have, "source", "left").fillna(0, ["available_rows", "available_chars"])
-    whole = t.filter(F.col("source") == anchor).select((F.col("available_chars") / F.col("target_share")).alias("total"))
-    t = t.join(F.broadcast(whole), F.lit(True))  # one row
+    one = W.partitionBy(F.lit(1))  # a row a source
+    t = t.withColumn("total", F.coalesce(F.max(F.when((F.col("source") == anchor) & (F.col("target_share") > 0), F.col("available_chars") / F.nullif("target_share", F.lit(0.0)))).over(one), F.lit(0.0)))
     quota = F.round(F.col("target_share") * F.col("total")).cast("long")
     return t.select("source", "target_share", "max_repeats", "available_rows", "available_chars", quota.alias("quota_chars"), (quota > F.col("available_chars") * F.col("max_repeats")).alias("capped"))
 
@@ -118,6 +118,6 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = SEED, block: int = BLO
 def shares(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """One row a source: target, quota, what was chosen and its actual share of the whole."""
     got = mixed.groupBy("source").agg(F.sum("size").alias("chosen_chars"), F.count(F.lit(1)).alias("chosen_rows"), F.max("repeat").alias("most_repeats"))
-    whole = got.agg(F.sum("chosen_chars").alias("all_chars"))
-    out = quotas(sizes, targets).join(got, "source", "left").fillna(0, ["chosen_chars", "chosen_rows", "most_repeats"]).join(F.broadcast(whole), F.lit(True), "left")
-    return out.select("source", "target_share", "max_repeats", "available_rows", "available_chars", "quota_chars", "capped", "chosen_rows", "chosen_chars", "most_repeats", F.coalesce(F.col("chosen_chars") / F.col("all_chars"), F.lit(0.0)).alias("actual_share"))
+    out = quotas(sizes, targets).join(got, "source", "left").fillna(0, ["chosen_chars", "chosen_rows", "most_repeats"])
+    out = out.withColumn("all_chars", F.sum("chosen_chars").over(W.partitionBy(F.lit(1))))  # a row a source
+    return out.select("source", "target_share", "max_repeats", "available_rows", "available_chars", "quota_chars", "capped", "chosen_rows", "chosen_chars", "most_repeats", F.when(F.col("all_chars") > 0, F.col("chosen_chars") / F.col("all_chars")).otherwise(F.lit(0.0)).alias("actual_share"))
