@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.prefix import dense_rank_all
+
 
 def outcome_counts(samples: DataFrame, outcomes: DataFrame) -> DataFrame:
     """(task_id, n, c): samples of each task and how many passed. Every delivered sample row counts; an outcome that is
@@ -51,6 +53,13 @@ def corpus_perplexity(files: DataFrame, ppl: str = "perplexity", tokens: str = "
     return ok.agg(F.count(F.lit(1)).alias("files"), F.sum(tokens).alias("tokens"), F.exp(F.sum(F.log(ppl) * F.col(tokens)) / F.sum(tokens)).alias("perplexity"))
 
 
+def eval_losses(batches: DataFrame, order: list[str], loss: str, per: int = 20) -> DataFrame:
+    """(evaluation, batches, loss): means over consecutive runs of batches in the order; a row's place is found by
+    two-phase ranks, so the order is global without a single-task window."""
+    placed = dense_rank_all(batches.select(*order, loss), order, "_place")
+    return placed.groupBy(F.floor(F.col("_place") / per).alias("evaluation")).agg(F.count(F.lit(1)).alias("batches"), F.avg(loss).alias("loss"))
+
+
 def windows(df: DataFrame, tokens: str, context: int, stride: int) -> DataFrame:
     """df exploded to (begin, end, n_new): windows of a sliding evaluation. The first scores all its targets, a later one
     the last min(stride, its targets); the last window may score some again. Fewer than two tokens give none."""

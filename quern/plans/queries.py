@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +11,6 @@ from quern.functions import tokens as tok
 from quern.functions.pyast import python_features
 from quern.functions.text import WS, function_name, indented_prompt, inserted, joined_parts, line_stats, lines, newline_count, normalised, strip, truncated
 from quern.operators import curriculum, dedup, evaluation, packing, quality, training, vectors
-from quern.operators.prefix import running_sum
 from quern.operators.qa import accepted_pairs, documents
 from quern.plans.durable import fresh_path
 from quern.sources import packed, tables
@@ -518,6 +515,16 @@ def corpus_perplexity(spark, sf_dir):
     return evaluation.corpus_perplexity(_nll(spark, sf_dir)).withColumn("perplexity", F.round("perplexity", 9))
 
 
+@query("""
+select cast(r // 20 as bigint) as evaluation, count(*) as batches, round(avg(value), 9) as loss from (
+  select value, row_number() over (order by event_id) - 1 as r from events where value is not null) group by 1
+""")
+def eval_loss(spark, sf_dir):
+    """The mean loss of each evaluation over the next 20 batches; the cursor goes on from one to the next."""
+    rows = table(spark, sf_dir, "events").filter("value is not null").select("event_id", "value")
+    return evaluation.eval_losses(rows, ["event_id"], "value", 20).select("evaluation", "batches", F.round("loss", 9).alias("loss"))
+
+
 # -- evaluation -------------------------------------------------------------------------------------------------------
 @query("select task_id, cast(split_part(task_id, '/', 2) as int) as n, length(prompt) as prompt_chars, entry_point from humaneval_problems")
 def humaneval_load(spark, sf_dir):

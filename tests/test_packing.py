@@ -131,3 +131,22 @@ def test_jsonl_and_files(spark, tmp_path):
     assert tables.archives(spark, str(tmp_path / "r.tar.gz"), limit=2).count() == 2
     names = spark.createDataFrame([("step_000100", True), ("step_000100.tmp", True), ("crash_000500", True), ("step_abc", True), ("step_7", False), ("step_000200", True)], "name string, is_dir boolean")
     assert sorted(r["step"] for r in tables.checkpoints(spark, names).collect()) == [100, 200]
+
+
+def test_golden_ids_and_bounds_of_the_encoder(spark):
+    import json
+    import time
+    from pathlib import Path
+
+    cases = json.loads((Path(__file__).parent / "golden_tokens.json").read_text())
+    df = spark.createDataFrame([(i, c["text"]) for i, c in enumerate(cases)], "i int, t string")
+    got = [list(r["ids"]) for r in df.select("i", tok.encode(F.col("t")).alias("ids")).orderBy("i").collect()]
+    assert got == [c["ids"] for c in cases]
+    text = "\n\n".join(c["text"] for c in cases) * 40
+    fast = tok.ranks(tok.FILE)
+    ids = fast.encode_ordinary(text)
+    assert len(text) / len(ids) > 2.0 and fast.decode(ids) == text
+    began = time.time()
+    n = sum(len(fast.encode_ordinary(text)) for _ in range(20))
+    assert n / (time.time() - began) > 500_000
+    assert len(fast.encode_ordinary("x = 1\n" * 20_000)) > 0
