@@ -2,10 +2,11 @@
 
 Every text is normalised and cut into its distinct 5-character substrings. Their hashes, dealt over bins by value, give
 one minimum a bin (one-permutation min-hashing; an empty bin borrows from a fixed other one). In each of ``BANDS`` bands
-23 bins give one bit each, the fingerprint segment, and two more bins give the anchor. A segment decodes to the indices
+23 bins give one bit each, the fingerprint segment, and three more bins give the anchor. A segment decodes to the indices
 of the Golay codewords near it; band, anchor and index are a key. By the pigeonhole principle two texts whose
-fingerprints differ in few bits have a segment with at most two errors, hence a common key. Texts that share a key and
-are close in size and fingerprint are compared exactly.
+fingerprints differ in few bits have a segment with at most two errors, hence a common key. A key row carries the size
+and 64 bits of the fingerprint, so the join itself drops random meetings before anything is shuffled again. Texts that
+share a key and are close in size and fingerprint are compared exactly.
 
 Exact copies are one class, represented by its smallest id, so a class takes part in the search once however many rows
 it has; classes are made by a partial aggregation, never by collecting a group. Keys, candidates and texts travel by
@@ -32,8 +33,9 @@ from quern.llm.common import cut
 SHINGLE = 5
 THRESHOLD = 0.85
 MIN_CHARS = 100
-BANDS = 7
-ANCHORS = 2
+BANDS = 9
+#: Minima in an anchor: each lets a random pair pass about a tenth as often, so it should grow with the logarithm of the rows.
+ANCHORS = 3
 BINS = BANDS * (golay.LENGTH + ANCHORS)
 #: Fingerprint bits that may differ: six standard deviations above what the threshold lets expect.
 SLACK = 6.0
@@ -164,7 +166,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHA
 
 
 def key_rows(reps: DataFrame) -> DataFrame:
-    """(key, id, size): the search keys of each representative."""
+    """(key, id, size, word): the search keys of each representative, with 64 bits of its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,14 +176,16 @@ def key_rows(reps: DataFrame) -> DataFrame:
             packed = np.stack([batch.column(2 + k).to_numpy() for k in range(len(_PARTS))], axis=1)
             segments = np.stack((packed & (1 << golay.LENGTH) - 1, packed >> golay.LENGTH), axis=2).reshape(len(ids), -1)[:, :BANDS]
             anchors = batch.column(2 + len(_PARTS)).flatten().to_numpy().reshape(len(ids), BANDS)
+            word = segments[:, 0] | segments[:, 1] << 23 | segments[:, 2] << 46  # the top bits of the third fall out
             at, key = keys(segments, anchors)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at]), pa.array(sizes[at])], ["key", "id", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at]), pa.array(sizes[at]), pa.array(word[at])], ["key", "id", "size", "word"])
 
-    return reps.select("id", "size", *_PARTS, "anchors").mapInArrow(run, "key long, id long, size int")
+    return reps.select("id", "size", *_PARTS, "anchors").mapInArrow(run, "key long, id long, size int, word long")
 
 
-def allowed_bits(threshold: float) -> int:
-    p, n = (1 - threshold) / 2, BANDS * golay.LENGTH
+def allowed_bits(threshold: float, n: int = BANDS * golay.LENGTH) -> int:
+    """Of n fingerprint bits so many may differ at the threshold."""
+    p = (1 - threshold) / 2
     return int(p * n + SLACK * (p * (1 - p) * n) ** 0.5)
 
 
@@ -194,9 +198,10 @@ def similar_classes(df: DataFrame, id_col: str = "seq", text_col: str = "content
     reps = cut(all_rows.drop("h1", "h2").join(is_rep, "id", "left_semi").dropDuplicates(["id"]), "neardup-reps")
 
     k = key_rows(reps)
-    a, b = k.toDF("key", "a", "size_a"), k.toDF("key", "b", "size_b")
+    a, b = k.toDF("key", "a", "size_a", "word_a"), k.toDF("key", "b", "size_b", "word_b")
     small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (small >= F.lit(threshold) * large)).select("a", "b").distinct()
+    near = F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= allowed_bits(threshold, 64)
+    met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (small >= F.lit(threshold) * large) & near).select("a", "b").distinct()
     left = reps.select(F.col("id").alias("a"), *[F.col(s).alias(f"a_{s}") for s in _PARTS])
     right = reps.select(F.col("id").alias("b"), *[F.col(s).alias(f"b_{s}") for s in _PARTS])
     differ = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in _PARTS), F.lit(0))
