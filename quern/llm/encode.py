@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import os
 from collections.abc import Iterator
 
@@ -23,6 +24,8 @@ TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
 #: The pre-tokenizer of byte_bpe_50k (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FRAGMENT = 1024
+#: Rows encoded at a time: the ids of one slice are Python integers until they are packed.
+SLICE = 512
 #: Cached fragments per worker; the cache is emptied when full, so memory stays bounded.
 CACHE = 4096
 
@@ -127,11 +130,13 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            lists = [enc.encode(t) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, lists)], dtype=np.int64).astype(np.int32)
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(ends[-1]))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], [id_col, "ids"])
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                lists = [enc.encode(t) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, lists)], dtype=np.int64).astype(np.int32)
+                flat = np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(ends[-1]))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, "ids"])
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
