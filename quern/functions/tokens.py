@@ -45,6 +45,24 @@ def ranks(path: str):
     return tiktoken.Encoding(beside, pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
+#: From this length on a text is cut by a matcher whose stack does not grow with runs of white space.
+LONG = 5000
+
+
+def encode_text(encoding, text: str) -> list[int]:
+    """The ids of a text as ordinary text; a text of any length and form is encoded without exhausting a stack."""
+    if len(text) < LONG:
+        return encoding.encode_ordinary(text)
+    return [i for piece in _pieces(encoding._pat_str).findall(text) for i in (encoding.encode_ordinary(piece) if len(piece) < LONG else encoding._encode_single_piece(piece))]
+
+
+@functools.lru_cache(maxsize=4)
+def _pieces(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
+
+
 def encode(c: Column, add_eof: bool = False, path: str = FILE) -> Column:
     """ARRAY<INT> of ids; null and empty texts give an empty list, plus the end mark if asked for."""
 
@@ -54,7 +72,7 @@ def encode(c: Column, add_eof: bool = False, path: str = FILE) -> Column:
         end = [t.token_to_id(EOF)] if add_eof else []
         for s in batches:
             if fast:
-                yield pd.Series([fast.encode_ordinary(x or "") + end for x in s])
+                yield pd.Series([encode_text(fast, x or "") + end for x in s])
             else:
                 yield pd.Series([e.ids + end for e in t.encode_batch([x or "" for x in s], add_special_tokens=False)])
 
