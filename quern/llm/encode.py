@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quern.functions.tokens import encode_text
+
 TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
 #: The pre-tokenizer of byte_bpe_50k (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -105,7 +107,7 @@ class ForcedBoundaryEncoder:
         for part in self.fragments(text):
             got = self.cache.get(part)
             if got is None:
-                got = self.encoding.encode_ordinary(part)
+                got = encode_text(self.encoding, part)
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
                 self.cache[part] = got

@@ -135,7 +135,7 @@ class PythonParser:
             return ("token", text.count("\n", 0, text.index("\x00")), 0)
         if "\\\n" in text and _ODD.search(text) or "\f" in text or text.endswith("\\"):
             return ("odd", 0, 0)
-        toks = _PY.findall("\n" + text)
+        toks = _PY.findall("\n" + text.rstrip(" \t"))  # blanks with no token after them would be tried from every place
         kinds = list(map(self.kinds.__getitem__, toks))
         ends = [t for t, k in zip(toks, kinds) if k == "\n"]
         parts = "".join(kinds).split("\n")
@@ -207,7 +207,7 @@ class PythonParser:
         if "\r" in text:
             text = text.replace("\r\n", "\n").replace("\r", "\n")
         line, seen, left = 0, 0, token
-        for m in _PY.finditer("\n" + text):
+        for m in _PY.finditer("\n" + text.rstrip(" \t")):
             t = m[1]
             k = self.kinds[t]
             if k == "\n":
@@ -236,6 +236,10 @@ _TOML_VALUE = re.compile(
 )
 
 
+#: A name of so many parts takes the exact check quadratic time, so the grammar alone judges it.
+_DEEP_NAME = re.compile(r"(?:[\w-]++\.){1000}")
+
+
 def _json_kind(t: str) -> str:
     c = t[0]
     if c == '"' and len(t) > 1:
@@ -269,11 +273,11 @@ class Checker:
         if lang == "Python":
             return self.python.parse(text)
         if lang == "JSON":
-            node, k = self.json.run("value", map(_json_kind, _JSON.findall(text)))
+            node, k = self.json.run("value", map(_json_kind, _JSON.findall(text.rstrip(" \t\n\r"))))
             return ("token", 0, k) if node == EMPTY else None if self.json.nullable(node) else ("end", 0, 0)
         if "\x00" in text:
             return ("token", 0, 0)
-        toks = _TOML.findall(text.replace("\r\n", "\n"))
+        toks = _TOML.findall(text.replace("\r\n", "\n") + "\n")
         node, k = self.toml.run("file", (x for t in toks for x in _toml_kinds(t)))
         return ("token", 0, k) if node == EMPTY else None if self.toml.nullable(node) else ("end", 0, 0)
 
@@ -285,7 +289,7 @@ class Checker:
         elif lang == "Python":
             valid = stop is None or exact_python(text)
         else:
-            valid = exact_toml(text)
+            valid = stop is None if _DEEP_NAME.search(text) else exact_toml(text)
         if valid:
             return None
         why, part, token = stop or ("definition", 0, 0)
@@ -294,7 +298,7 @@ class Checker:
         if lang == "Python":
             return ("token", *self.python.place(text, part, token))
         seen = 0
-        for m in (_JSON if lang == "JSON" else _TOML).finditer(text if lang == "JSON" else text.replace("\r\n", "\n")):
+        for m in (_JSON if lang == "JSON" else _TOML).finditer(text.rstrip(" \t\n\r") if lang == "JSON" else text.replace("\r\n", "\n") + "\n"):
             seen += 1 if lang == "JSON" else len(_toml_kinds(m[1]))
             if seen > token:
                 return "token", m.string.count("\n", 0, m.start(1)) + 1, m[1][:40]

@@ -28,7 +28,7 @@ FORMATS = re.compile(
     r"|npm_[A-Za-z0-9]{30,}|pypi-[A-Za-z0-9_-]{40,}|hf_[A-Za-z0-9]{28,}|dop_v1_[a-f0-9]{40,}|shpat_[a-fA-F0-9]{28,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{6,})"
 )
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----((?:\\[nr]|[\s\"'+,\\#*]|[A-Za-z0-9+/=:.-](?!----))*)(?:-----END)?")
-URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://([^\s:/@'\"<>{}$%]*):([^\s@/'\"]+)@[A-Za-z0-9\[]")
+URL = re.compile(r"(?<=[A-Za-z0-9])://([^\s:/@'\"<>{}$%]{0,200}):([^\s@/'\"]{1,400})@[A-Za-z0-9\[]")
 HEADER = re.compile(r"(?i)\b(bearer|basic|token)\s+([A-Za-z0-9+/=_.~-]{12,})")
 ASSIGNED = re.compile(
     r"(?i)(passw(?:or)?d|passwd|passphrase|passcode|pwd|(?<![a-z])pass(?![a-z])|secret|token|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?|private[_-]?key|signing[_-]?key|encryption[_-]?key|(?<![a-z])key(?![a-z]))"

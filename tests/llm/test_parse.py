@@ -105,3 +105,13 @@ def test_rows(code):
     rates = {(r["lang"]): (r["files"], r["failed"]) for r in parsecheck.rates(df).collect()}
     assert rates == {"Python": (4, 2), "JSON": (1, 1)}
     assert parsecheck.failures(code([])).count() == 0
+
+
+@pytest.mark.parametrize("lang", ["Python", "JSON", "TOML"])
+@pytest.mark.parametrize("text", [" " * 200000, "\n" * 200000, "x = 1" + " " * 200000, "# a" * 80000, "(" * 200000, "a." * 50000 + "b = 1", '"' * 100001])
+def test_long_texts_take_linear_time(lang, text):
+    import time
+
+    began = time.time()
+    parsecheck.checker().failure(lang, text)
+    assert time.time() - began < 10

@@ -57,3 +57,12 @@ def test_rows(code, source):
     red = {r["row_id"]: r["secrets"] for r in secrets.redacted(df.filter("seq = 4"), "t", "seq").collect()}
     assert red == {4: 1}
     assert secrets.secret_lines(code([]), "t", "seq").count() == 0
+
+
+@pytest.mark.parametrize("text", ["key=" * 50000, "# password " * 20000, "a" * 300000 + "://b:c1@d", "-----BEGIN PRIVATE KEY-----" * 5000, "eyJ" * 50000, "user: " * 40000])
+def test_long_texts_take_linear_time(finder, text):
+    import time
+
+    began = time.time()
+    finder.find(text)
+    assert time.time() - began < 10
