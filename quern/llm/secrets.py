@@ -127,11 +127,11 @@ class Finder:
             m = ASSIGNED.match(text, at)
             if m:
                 if self._assigned(text, m):
-                    end = m.end(4)
+                    end = whole = m.end(4)
                     if "(" in text[m.end(2) : m.start(4)]:  # a literal in parts: the next ones belong to it
                         while more := _MORE.match(text, end + 1):
                             end = more.end(2)
-                    if end - m.start(4) <= LONGEST:
+                    if end == whole or end - m.start(4) <= LONGEST:
                         out.append((m.start(4), end))
                 continue
             begin = text.rfind("\n", 0, at) + 1

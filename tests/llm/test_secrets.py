@@ -1,4 +1,5 @@
 import ast
+import random
 
 import pytest
 
@@ -66,3 +67,12 @@ def test_long_texts_take_linear_time(finder, text):
     began = time.time()
     finder.find(text)
     assert time.time() - began < 10
+
+
+@pytest.mark.parametrize("line", ["aws_session_token = '{}'", "AWS_SESSION_TOKEN = ('{}')", "private_key: '{}'"])
+def test_a_long_value_in_one_literal(finder, line):
+    rnd = random.Random(3)
+    value = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600))
+    text = line.format(value)
+    assert [text[a:b] for a, b in finder.find(text)] == [value]
+    assert value not in secrets.mask(text, finder.find(text))
