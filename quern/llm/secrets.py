@@ -116,11 +116,11 @@ class Finder:
             for m in URL.finditer(text):
                 if not _PLACEHOLDER.match(m[2]) and not re.search(r"[{}<>$]|%\(|\*\*", m[2]) and (not m[2].isdigit() or m[1]):
                     out.append(m.span(2))
-        if "earer" in text or "asic" in text or "oken " in text or "EARER" in text:
+        low = text.lower()
+        if "bearer" in low or "basic" in low or "token" in low:
             for m in HEADER.finditer(text):
                 if self._header(m):
                     out.append(m.span(2))
-        low = text.lower()
         hints = (h.start() for h in HINT.finditer(low)) if len(low) == len(text) else range(len(text))
         line = -1
         for at in hints:

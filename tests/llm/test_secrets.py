@@ -76,3 +76,15 @@ def test_a_long_value_in_one_literal(finder, line):
     text = line.format(value)
     assert [text[a:b] for a, b in finder.find(text)] == [value]
     assert value not in secrets.mask(text, finder.find(text))
+
+
+@pytest.mark.parametrize("kind", ["Basic ", "BASIC ", "basic\t", "bAsIc  "])
+def test_basic_header_in_any_case_and_white_space(finder, kind):
+    text = f'x = [("Authorization", "{kind}Ym93YTpjYWJsZU1lcmdlNjI2ODI=")]'
+    assert [text[a:b] for a, b in finder.find(text)] == ["Ym93YTpjYWJsZU1lcmdlNjI2ODI="]
+
+
+@pytest.mark.parametrize("kind", ["token ", "TOKEN ", "token\t", "Token  ", "BeArEr "])
+def test_token_header_in_any_case_and_white_space(finder, kind):
+    text = f"h['X'] = '{kind}r29ikNFJRcC1fnHUbzbmbDdOggRj3u3P'"
+    assert [text[a:b] for a, b in finder.find(text)] == ["r29ikNFJRcC1fnHUbzbmbDdOggRj3u3P"]
