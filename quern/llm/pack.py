@@ -89,8 +89,9 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, rou
             left[i] -= n * m
             slot += m
         container += n
-    # Best fit decreasing over what the rounding left: equal items that open containers alike go in one step.
-    room: dict[int, list[tuple[int, int]]] = {}
+    # Best fit decreasing over what the rounding left: equal items that fill or open containers alike go in one step.
+    # room: by free units, ranges of containers as (first, count, slot).
+    room: dict[int, list[tuple[int, int, int]]] = {}
     mask = 0
     for i in range(len(sizes) - 1, -1, -1):
         s = int(sizes[i])
@@ -98,31 +99,23 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, rou
             high = mask >> s
             if high:
                 free = s + (high & -high).bit_length() - 1
-                where, slot = room[free].pop()
-                if not room[free]:
-                    mask ^= 1 << free
-                n = 1
-            elif left[i] > 4 * (unit // s):
-                per = unit // s
-                n = int(left[i] // per)
-                rows.append((s, int(taken[i]), int(taken[i]) + n * per, container, per, 0))
-                taken[i] += n * per
-                left[i] -= n * per
-                if unit - per * s:
-                    for c in range(container, container + min(n, 4096)):
-                        room.setdefault(unit - per * s, []).append((c, per))
-                    mask |= 1 << (unit - per * s)
-                container += n
-                continue
+                where, count, slot = room[free].pop()
             else:
-                free, where, slot, n = unit, container, 0, 1
-                container += 1
-            rows.append((s, int(taken[i]), int(taken[i]) + n, where, 1, slot))
-            taken[i] += n
-            left[i] -= n
-            if free - s:
-                room.setdefault(free - s, []).append((where, slot + 1))
-                mask |= 1 << (free - s)
+                free, where, count, slot = unit, container, int(left[i]), 0
+            per = min(free // s, int(left[i]))
+            n = min(count, int(left[i]) // per)
+            if not high:
+                container += n
+            elif n < count:
+                room[free].append((where + n, count - n, slot))
+            elif not room[free]:
+                mask ^= 1 << free
+            rows.append((s, int(taken[i]), int(taken[i]) + n * per, where, per, slot))
+            taken[i] += n * per
+            left[i] -= n * per
+            if free - per * s:
+                room.setdefault(free - per * s, []).append((where, n, slot + per))
+                mask |= 1 << (free - per * s)
     return pd.DataFrame(rows, columns=["cls", "lo", "hi", "base", "per", "slot"]).astype("int64")
 
 

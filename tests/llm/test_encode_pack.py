@@ -114,3 +114,37 @@ def test_price_is_the_best_configuration():
         assert (m * sizes).sum() <= 17
         best = max(sum(a * x for a, x in zip(c, w)) for c in np.ndindex(*[17 // s + 1 for s in sizes]) if sum(a * s for a, s in zip(c, sizes)) <= 17)
         assert (m * w).sum() == pytest.approx(best)
+
+
+def _containers(table):
+    """Number of containers and the most units in one, after checking that every rank and slot is taken once."""
+    units, slots, ranks = {}, {}, {}
+    for r in table.itertuples():
+        ranks.setdefault(r.cls, []).extend(range(r.lo, r.hi))
+        for k in range(r.hi - r.lo):
+            c = r.base + k // r.per
+            units[c] = units.get(c, 0) + r.cls
+            slots.setdefault(c, []).append(r.slot + k % r.per)
+    assert all(sorted(x) == list(range(len(x))) for x in [*slots.values(), *ranks.values()])
+    assert sorted(units) == list(range(len(units)))
+    return len(units), max(units.values())
+
+
+def test_room_of_every_container_is_offered():
+    # Without rounds the program solves nothing, so all items go to the best-fit step.
+    assert _containers(pack.plan({300: 10_000, 200: 10_000}, 500, 1, 0)) == (10_000, 500)
+    assert _containers(pack.plan({300: 9_000, 90: 20_000}, 500, 1, 0)) == (9_400, 480)
+
+
+def test_best_fit_equals_item_by_item():
+    rnd = random.Random(2)
+    for _ in range(50):
+        hist = {rnd.randint(1, 60): rnd.randint(1, 200) for _ in range(rnd.randint(1, 8))}
+        free = []
+        for s in sorted(hist, reverse=True):
+            for _ in range(hist[s]):
+                fits = [f for f in free if f >= s]
+                if fits:
+                    free.remove(min(fits))
+                free.append((min(fits) if fits else 64) - s)
+        assert _containers(pack.plan(hist, 64, 1, 0))[0] == len(free)
