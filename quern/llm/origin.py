@@ -6,6 +6,10 @@ entropy, identifier lengths, comment density and the like) are taken from the bo
 it marks the files that have the form of generated, packed or data files but say nothing. A file it marks is kept if its
 form can also be named exactly: mostly literals, packed lines, an encoded program, or lines of few shapes over and over.
 
+Notices are read in the comments before the first statement (and the first docstring), in the lines of # and // at the end,
+and in the first 40 lines after the head where a line begins at column 0 with '# ', '##', '#:', '//' or '/*'. A notice
+further down, or on a later line of a block comment after the first statement, is not read.
+
 Features and notices are computed for every row; the forest is fitted on at most ``SAMPLE`` labelled rows of each class,
 taken by hash, and its trees (a few KB) go to the executors.
 
