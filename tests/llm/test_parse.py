@@ -115,3 +115,19 @@ def test_long_texts_take_linear_time(lang, text):
     began = time.time()
     parsecheck.checker().failure(lang, text)
     assert time.time() - began < 10
+
+
+def test_toml_deep_name_in_a_string_leaves_the_check_of_names_on():
+    check = parsecheck.checker()
+    for quoted in ('x = "%s"\n', "# %s\n", 'x = """%s"""\n'):
+        text = quoted % ("a." * 1200)
+        assert check.failure("TOML", text + "b = 1\n") is None
+        assert check.failure("TOML", text + "b = 1\nb = 2\n") is not None
+
+
+@pytest.mark.parametrize("n", [400, 1000, 5000])
+def test_toml_deep_nesting_is_no_failure(n):
+    check = parsecheck.checker()
+    assert check.failure("TOML", "x = " + "[" * n + "1" + "]" * n + "\n") is None
+    assert check.failure("TOML", "x = " + "{a = " * n + "1" + "}" * n + "\n") is None
+    assert check.failure("TOML", "x = " + "[" * n + "1" + "]" * (n - 1) + "\n") is not None
