@@ -31,7 +31,7 @@ class Derivatives:
             self.rules[name.strip()] = self._parse(body)
         nullable: set[str] = set()
         while True:
-            now = {n for n, body in self.rules.items() if self._null(body, nullable)}
+            now = {n for n, body in self.rules.items() if self._null(body, nullable, {})}
             if now == nullable:
                 break
             nullable = now
@@ -117,22 +117,23 @@ class Derivatives:
         return alternatives()
 
     # -- nullability and derivatives
-    def _null(self, i: int, rules: set[str]) -> bool:
-        n = self.nodes[i]
-        kind = n[0]
-        if kind == "cat":
-            return self._null(n[1], rules) and self._null(n[2], rules)
-        if kind == "alt":
-            return any(self._null(x, rules) for x in n[1])
-        if kind == "ref":
-            return n[1] in rules
-        return kind in ("eps", "star")
+    def _null(self, i: int, rules: set[str], known: dict[int, bool]) -> bool:
+        got = known.get(i)
+        if got is None:
+            n = self.nodes[i]
+            kind = n[0]
+            if kind == "cat":
+                got = self._null(n[1], rules, known) and self._null(n[2], rules, known)
+            elif kind == "alt":
+                got = any(self._null(x, rules, known) for x in n[1])
+            else:
+                got = n[1] in rules if kind == "ref" else kind in ("eps", "star")
+            known[i] = got
+        return got
 
     def nullable(self, i: int) -> bool:
         got = self.null.get(i)
-        if got is None:
-            got = self.null[i] = self._null(i, self.nullable_rules)
-        return got
+        return self._null(i, self.nullable_rules, self.null) if got is None else got
 
     def derive(self, i: int, t: str) -> int:
         got = self.memo.get((i, t))
