@@ -88,3 +88,48 @@ def test_basic_header_in_any_case_and_white_space(finder, kind):
 def test_token_header_in_any_case_and_white_space(finder, kind):
     text = f"h['X'] = '{kind}r29ikNFJRcC1fnHUbzbmbDdOggRj3u3P'"
     assert [text[a:b] for a, b in finder.find(text)] == ["r29ikNFJRcC1fnHUbzbmbDdOggRj3u3P"]
+
+
+NATURAL = ["key = 'limit-pivot-batch'", "access_token = 'column_channel_reader'", "password = 'velvetlantern'", "self.token = late_account"]
+
+
+@pytest.mark.parametrize("text", NATURAL)
+def test_density_alone_rejects_natural_words(text):
+    f = secrets.Finder(vocabulary())
+    assert f.find(text) == []
+    f.density = lambda value: 0.5
+    assert f.find(text)
+
+
+def test_nothing_is_found_without_its_density():
+    f = secrets.Finder(vocabulary())
+    f.density = lambda value: 99.0
+    assert not any(f.find(text) for text in HITS)
+
+
+def test_context_shifts_the_threshold(finder):
+    value = "columnChannel44792"
+    assert secrets.UNNATURAL < finder.density(value)
+    assert finder.find(f"password = '{value}'") and finder.find(f"u = 'amqp://a:{value}@host'") and not finder.find(f"key = '{value}'")
+
+
+def test_settings_lines_take_values_that_look_like_references(finder):
+    assert finder.find("PASSWORD=Malen.glyph7663x\n") and not finder.find("password = config.store7\n") and not finder.find("token = self.parts.reader2\n")
+
+
+def test_no_bound_on_lengths(finder):
+    rnd = random.Random(5)
+    long = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(700))
+    for text in (f"url = 'https://bot:{long}@host.example/x'", f"url = 'https://{'u' * 500}:{long[:30]}@host.example/x'", f"{'a_' * 300}api_key = '{long[:40]}'", f"client_token = ('{long[:350]}'\n    '{long[350:]}')", f"İ = 1\napi_token = '{long}'"):
+        assert len(finder.find(text)) == 1, text[:60]
+    lines = "\n".join(f"    '{long[i:i + 64]}'" for i in range(0, 640, 64))
+    assert finder.find(f"access_key_blob = (\n{lines})") == []
+
+
+@pytest.mark.parametrize("text", ["key_" * 40000, "İ" + "password = x " * 20000, "token: " * 40000, "://u:" * 40000, "user_pass_" * 20000 + " = 'a'"])
+def test_many_hints_take_linear_time(finder, text):
+    import time
+
+    began = time.time()
+    finder.find(text)
+    assert time.time() - began < 10
