@@ -1,20 +1,24 @@
 """Problem 2: generated, minified, third-party and data files among source code.
 
-Notices come first: what a header or footer says of a tool or of another project, and the directory of a file. They also
-label the files that a random forest learns from. The forest sees none of them: its features (compression ratio, token
-entropy, identifier lengths, comment density and the like) are taken from the body without head and foot comments, and
-it marks the files that have the form of generated, packed or data files but say nothing. A file it marks is kept if its
-form can also be named exactly: mostly literals, packed lines, an encoded program, or lines of few shapes over and over.
-
-Notices are read in the comments before the first statement (and the first docstring), in the lines of # and // at the end,
-and in the first 40 lines after the head where a line begins at column 0 with '# ', '##', '#:', '//' or '/*'. A notice
-further down, or on a later line of a block comment after the first statement, is not read.
-
-Features and notices are computed for every row; the forest is fitted on at most ``SAMPLE`` labelled rows of each class,
-taken by hash, and its trees (a few KB) go to the executors.
+What a file states of itself decides at once: a notice of a tool or of another project in its comments, and a directory for
+third-party code. Every other file is judged by a random forest alone. Its features (compression ratio, token entropy,
+identifier lengths, comment density and the like) are taken from the body without head and foot comments, and its labels
+come from those comments only: notices of tools and banners of packers are one class, notices of an author or of the own
+project the other. No feature takes part in a label.
+
+Notices are rare in some forms (packed programs, tables of data), so the first class is filled up with background points,
+as forests for unlabelled data do it: each feature of a point is drawn by itself, half from the marginal distribution over
+labelled rows, half from the whole range over all rows. The forest thus encloses what hand-written files look like and
+marks what lies outside. A file that it marks is no case if it is a page of another language (markup, C, shell), which is
+checked on its first line.
+
+Notices are read in all comments that begin at column 0 outside strings, and in the first docstring. Features and notices
+are computed for every row; the forest is fitted on at most ``SAMPLE`` labelled rows of each class, taken by hash, and its
+trees (a few KB) go to the executors.
 
 Defined results: other languages, null contents and contents under ``TINY`` characters are no cases; a null repository
-is no project, so a statement of belonging to a named one makes the file third-party."""
+is no project, so a statement of belonging to a named one makes the file third-party; without rows of both labels there is
+no forest, and notices alone decide."""
 
 from __future__ import annotations
 
@@ -33,9 +37,11 @@ from quern.llm.common import cut
 
 TINY = 100
 SAMPLE = 8000
-#: From this score the forest is believed without a form that can be named.
-SURE = 0.66
-TREES, DEPTH, CUTS, SEED = 24, 7, 32, 11
+#: From this score on the forest marks a file.
+SURE = 0.84
+TREES, DEPTH, CUTS, SEED = 96, 8, 32, 11
+#: Background points a labelled row of the sample.
+BACKGROUND = 0.5
 FEATURES = ("compression", "token_entropy", "char_entropy", "identifier_length", "short_identifiers", "comment_density", "line_length", "longest_line", "digits", "marks", "spaces", "distinct_tokens", "repeated_shape", "literals", "keywords", "statements_a_line")
 
 #: Directories for third-party code (fixed values).
@@ -46,7 +52,7 @@ _TOOL = re.compile(
     r"|\bdo not edit\b.{0,12}$|\bdo not edit (?:this|the) (?:file|class|code|module)|\bdo not (?:modify|change) (?:this file|by hand)|\bchanges (?:made )?(?:in|to) this file will be (?:lost|overwritten)|\bedits? will be (?:lost|overwritten)|\bhands off\b|\brerun `|\bform implementation (?:generated|written)"
     r"|\b(?:automatisch|maschinell) (?:erzeugt|generiert|erstellt)|\bnicht (?:von hand )?(?:ändern|bearbeiten|editieren)|\b(?:fichier|code) (?:produit|généré|créé)|\bne pas (?:modifier|éditer)|\b(?:archivo|código|fichero) (?:generado|creado)|\bgenerado (?:por|automáticamente|con)|\bno (?:editar|modificar)\b|\b(?:file|codice) generato|\bnon modificare|\b(?:arquivo|código) gerado|\bnão edit|автоматически (?:создан|сгенерирован)|не редактировать|自动生成|自動生成|\bgenerated (?:by|from) .+ (?:compiler|codegen|generator)|\bproduced by:|\boutput of .+(?:compiler|codegen|generator)"
 )
-_NOT_TOOL = re.compile(r"(?i)hand[- ]?written|written by hand|\bnot (?:auto-?)?generated|this one is not|an? earlier|no longer generated|into a generated|\bids? (?:are|is)\b|\bthem by hand\b|banner|used to be")
+_NOT_TOOL = re.compile(r"(?i)hand[- ]?written|written by hand|\b(?:not|never|no longer) (?:auto-?)?(?:generated|created|produced)")
 _THIRD = [
     re.compile(p)
     for p in (
@@ -63,15 +69,16 @@ _THIRD = [
         r"(?i)(?:from|part of) the ([\w-]+) (?:project|library|package)\b",
     )
 ]
-_ANYONE = {"the", "contributors", "contributor", "original", "respective", "its", "this", "that", "project", "a", "an", "all", "our", "various", "python", "javascript"}
+_ANYONE = {"the", "some", "any", "another", "other", "one", "here", "there", "contributors", "contributor", "original", "respective", "its", "this", "that", "project", "a", "an", "all", "our", "various", "python", "javascript"}
 _HAND = re.compile(r"(?i)copyright|licen[cs]e|hand[- ]?written|\(c\)|see copying|contributors")
 _TOKEN = re.compile(r"[A-Za-z_]\w*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\w\s]")
 _KEYWORDS = frozenset("def class return if elif else for while import from with as assert try except raise pass break continue lambda yield async await del not and or in is None True False self const let var function new this typeof null true false case match switch".split())
 _SHAPE = re.compile(r"\w+")
-_TRIPLE = re.compile(r"\"\"\".*?\"\"\"|'''.*?'''", re.S)
-_PACKED = re.compile(r"(?:exec|eval|loads|decompress|b(?:16|32|64|85)decode|fromhex|unhexlify|atob|fromCharCode)\s*\(")
-_STATEMENT = re.compile(r"\s*(?:def|class|return|if|elif|else|for|while|with|try|except|assert|raise|import|from|const|let|var|function|print|yield|match|case)\b")
-_BLOB = re.compile(r"[\"'][A-Za-z0-9+/=_!#$%&()*<>?@^`{|}~;-]{200,}[\"']")
+#: First lines of pages in other languages (fixed values).
+_FOREIGN = re.compile(r"\s*(?:<(?:!doctype|html|head|body|svg|\?xml|\?php)\b|<!--|#\s*include\s*[<\"]|#!\S*\b(?:ba|da|z|k)?sh\b)", re.I)
+_STRINGS = re.compile(r"\"\"\".*?\"\"\"|'''.*?'''|`(?:[^`\\]|\\.)*`", re.S)
+_COMMENTS = re.compile(r"^(?:(?:#|//)[^\n]*|/\*.*?\*/)", re.S | re.M)
+_BANNER = re.compile(r"\.min\.js\Z")
 
 
 def _name(x: str) -> str:
@@ -112,11 +119,12 @@ def _parts(text: str) -> tuple[list[str], str]:
             break
         notes.append(s)
         j -= 1
-    # Notices can also stand in comments among the imports.
-    for s in lines[i : min(j, i + 40)]:
-        if s[:1] in "#/" and s[:2] in ("# ", "//", "/*", "##", "#:"):
-            notes.append(s)
-    return [x.strip("#/*!<>- \t") for x in notes if x], "\n".join(lines[i:j])
+    body = "\n".join(lines[i:j])
+    # Notices can also stand further down.
+    if "\n#" in body or "\n/" in body:
+        for c in _COMMENTS.findall(_STRINGS.sub("", body)):
+            notes += c.split("\n")
+    return [x.strip("#/*!<>- \t") for x in notes if x], body
 
 
 def notice(text: str, repo: str | None, notes: list[str]) -> str:
@@ -195,33 +203,6 @@ def literal_share(body: str) -> float:
     return min(1.0, inside / max(1, solid))
 
 
-def form(body: str, path: str, f: list[float]) -> str:
-    """The form that the file can be named by: data, packed, minified, repeated or ''."""
-    lines = [x for x in body.split("\n") if x.strip()]
-    if not lines:
-        return ""
-    longest, literal = max(map(len, lines)), f[FEATURES.index("literals")]
-    if longest > 200:
-        blobs = [len(x) for x in _BLOB.findall(body)]
-        if blobs and sum(blobs) > 0.5 * len(body) and _PACKED.search(body):
-            return "packed"
-    if longest > 60:
-        dense = [x for x in lines if len(x) > 60 and (x.count(";") >= 3 or x.count("{") >= 4 and x.count(":") + x.count("=") >= 4) and x.count(" ") < 0.16 * len(x)]
-        if dense and sum(map(len, dense)) >= 0.5 * len(body) and literal_share(max(lines, key=len)) < 0.75:
-            return "minified"
-    if longest > 150 and re.search(r"\.min\.(?:js|css)$", path):
-        return "minified"
-    if literal >= 0.66 and sum(1 for x in lines if _STATEMENT.match(x)) <= max(3, 0.12 * len(lines)):
-        return "data"
-    if longest > 200 and sum(len(x) for x in lines if len(x) > 200 and literal_share(x) > 0.5) >= 0.5 * len(body):
-        return "data"
-    if len(lines) >= 8 and f[FEATURES.index("repeated_shape")] >= 0.25:
-        shapes = Counter(re.sub(r"\d+|'[^']*'|\"[^\"]*\"|[A-Za-z_]\w*", "w", x.strip()) for x in lines)
-        if sum(c for _, c in shapes.most_common(4) if c >= 3) >= 0.7 * len(lines):
-            return "repeated"
-    return ""
-
-
 class Forest:
     """A random forest of binary trees over quantile-cut features, kept as arrays."""
 
@@ -280,11 +261,12 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-_SCHEMA = "id long, notice string, vendored boolean, form string, label int, " + ", ".join(f"f{i} float" for i in range(len(FEATURES)))
+_SCHEMA = "id long, notice string, vendored boolean, strange boolean, label int, " + ", ".join(f"f{i} float" for i in range(len(FEATURES)))
 
 
 def described(df: DataFrame, id_col: str, text_col: str, repo_col: str, path_col: str) -> DataFrame:
-    """Notices, form, label (1 generated or packed by notice, 0 written by hand by notice, else null) and features."""
+    """Notice, third-party directory, page of another language, label (1 by notice of a tool or banner of a packer, 0 by
+    notice of an author or the own project, else null) and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,44 +276,56 @@ def described(df: DataFrame, id_col: str, text_col: str, repo_col: str, path_col
                     continue
                 notes, body = _parts(text)
                 what = notice(text, repo, notes)
-                f = features(body)
-                shape = form(body, path or "", f)
-                banner = text.startswith("/*!") or bool(re.search(r"\.min\.js$", path or ""))
-                label = 1 if what == "tool" or banner or shape in ("packed", "data") and f[FEATURES.index("literals")] > 0.8 else 0 if what in ("own", "hand") and not shape else None
-                rows.append((i, what, bool(VENDOR_DIRS.search(path or "")), shape, label, f))
-            cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([r[3] for r in rows], pa.string()), pa.array([r[4] for r in rows], pa.int32())]
+                banner = text.startswith("/*!") or bool(_BANNER.search(path or ""))
+                label = 1 if what == "tool" or banner and what != "third" else 0 if what in ("own", "hand") else None
+                rows.append((i, what, bool(VENDOR_DIRS.search(path or "")), bool(_FOREIGN.match(text)), label, features(body)))
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int32()))]
             x = np.array([r[5] for r in rows], np.float32).reshape(len(rows), len(FEATURES))
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(x[:, k]) for k in range(len(FEATURES))], ["id", "notice", "vendored", "form", "label", *[f"f{k}" for k in range(len(FEATURES))]])
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(x[:, k]) for k in range(len(FEATURES))], ["id", "notice", "vendored", "strange", "label", *[f"f{k}" for k in range(len(FEATURES))]])
 
     return df.select(F.col(id_col).cast("long"), text_col, repo_col, path_col).mapInArrow(run, _SCHEMA)
 
 
+def background(x: np.ndarray, low: np.ndarray, high: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
+    """Points whose features are drawn each by itself: half from the rows of x, half from the range."""
+    rng = np.random.default_rng(seed)
+    drawn = np.stack([x[rng.integers(0, len(x), n), j] for j in range(x.shape[1])], axis=1)
+    return np.where(rng.random(drawn.shape) < 0.5, low + (high - low) * rng.random(drawn.shape), drawn)
+
+
 def fit_forest(rows: DataFrame, sample: int = SAMPLE) -> Forest | None:
-    """A forest over at most sample rows of each label, taken by the hash of their ids."""
-    counts = {r["label"]: r["n"] for r in rows.filter("label is not null").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
+    """A forest over at most sample rows of each label, taken by the hash of their ids, and background points within the
+    ranges of all rows."""
+    names = [f"f{k}" for k in range(len(FEATURES))]
+    ends = rows.agg(*[f(n) for n in names for f in (F.min, F.max)], *[F.count(F.when(F.col("label") == k, 1)) for k in (0, 1)]).first()  # one row
+    counts = dict(enumerate(ends[-2:]))
+    if not all(counts.values()):
         return None
     parts = []
     for label, n in counts.items():
         share = min(1.0, 0.95 * sample / n)
         parts.append(rows.filter((F.col("label") == label) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))).limit(sample))
-    got = parts[0].unionByName(parts[1]).drop("notice", "vendored", "form").toPandas().sort_values("id")
-    return Forest.fit(got[[f"f{k}" for k in range(len(FEATURES))]].to_numpy(np.float64), got["label"].to_numpy(np.int64))
+    got = parts[0].unionByName(parts[1]).select("id", "label", *names).toPandas().sort_values(["id", *names])
+    x, y = got[names].to_numpy(np.float64), got["label"].to_numpy(np.int64)
+    more = background(x, np.array(ends[: 2 * len(names) : 2], float), np.array(ends[1 : 2 * len(names) : 2], float), int(BACKGROUND * min(sample, len(x))))
+    return Forest.fit(np.concatenate((x, more)), np.concatenate((y, np.ones(len(more), np.int64))))
 
 
 def verdicts(df: DataFrame, id_col: str = "seq", text_col: str = "content", repo_col: str = "max_stars_repo_name", path_col: str = "max_stars_repo_path") -> DataFrame:
-    """(id, reason, score) of every row that is not hand-written source of its repository."""
+    """(id, reason, score) of every row that is not hand-written source of its repository; reason is tool, third or vendored
+    by statement, else data, packed or generated by what stands out in a file that the forest marks."""
     rows = cut(described(df, id_col, text_col, repo_col, path_col), "origin")
     shared = df.sparkSession.sparkContext.broadcast(fit_forest(rows))
+    literals, width = FEATURES.index("literals"), FEATURES.index("line_length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for batch in batches:
             x = np.stack([batch.column(5 + k).to_numpy() for k in range(len(FEATURES))], axis=1).astype(np.float64)
             score = forest.predict(x) if forest and len(x) else np.zeros(len(x))
-            reasons = []
-            for what, vendored, shape, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), score):
-                reasons.append("tool" if what == "tool" else "third" if what == "third" else "vendored" if vendored else shape if shape and s >= 0.5 else "form" if s >= SURE else None)
+            said = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))
+            marked = np.where(x[:, width] > 200, "packed", np.where(x[:, literals] > 0.5, "data", "generated"))
+            reasons = [what if what in ("tool", "third") else "vendored" if vendored else m if s >= SURE and not strange else None for (what, vendored, strange), s, m in zip(said, score, marked.tolist())]
             keep = pa.array([k for k, r in enumerate(reasons) if r], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), pa.array([r for r in reasons if r], pa.string()), pa.array(score).take(keep)], ["id", "reason", "score"])
 

@@ -49,6 +49,10 @@ def found(code, source):
         13: {"content": source(507) + "#\n# *** maker output -- hands off, rerun `maker` ***\n#\n"},
         14: {"content": "# vendored from melon (commit 12ab)\n" + source(508), "repo": None},
         15: {"content": source(509, 3000)},
+        16: {"content": source(510, 80) + "\n/* Code generated by maker; DO NOT EDIT. */\n" + source(511), "path": "x.js"},  # far down
+        17: {"content": source(512) + 'PAGE = """\n# Code generated by maker; DO NOT EDIT.\n"""\n'},  # in a string
+        18: {"content": "<!DOCTYPE html>\n<html>\n" + "<p class='a1'>one two</p>\n" * 40},  # a page of another language
+        19: {"content": "import zlib, base64\nexec(zlib.decompress(base64.b64decode('" + "".join(random.Random(5).choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1500)) + "')))\n"},
     }
     rows += [{"seq": k, "repo": "a/b"} | v for k, v in one.items()] + [{"seq": None, "content": generated(1)}]
     return verdicts(code, rows)
@@ -56,7 +60,7 @@ def found(code, source):
 
 def test_notices_forms_and_decoys(found):
     special = {k: v for k, v in found.items() if k < 1000}
-    assert special == {1: "repeated", 2: "minified", 3: "data", 5: "third", 6: "vendored", 13: "tool", 14: "third"}
+    assert special == {1: "generated", 2: "packed", 3: "data", 5: "third", 6: "vendored", 13: "tool", 14: "third", 16: "tool", 19: "packed"}
 
 
 def test_held_out_accuracy(found):
@@ -66,6 +70,24 @@ def test_held_out_accuracy(found):
         assert sum(lo <= k < lo + 1000 for k in found) == 120
 
 
+def test_the_forest_decides_for_files_without_a_statement(code, source, monkeypatch):
+    rows = [{"seq": k, "content": generated(k) if k < 40 else "# Copyright 2012 the contributors.\n" + source(k)} for k in range(80)] + [{"seq": 100, "content": numbers(1)}, {"seq": 101, "content": generated(50).split("\n", 1)[1]}]
+    assert {k for k in verdicts(code, rows) if k >= 40} == {100, 101}
+    monkeypatch.setattr(origin, "fit_forest", lambda rows: None)
+    assert set(verdicts(code, rows)) == set(range(40))
+
+
+def test_labels_come_from_notices_only(code):
+    """The same bodies without a notice have no label, whatever they look like."""
+    bodies = [generated(1).split("\n", 1)[1], numbers(2), minified(3).split("\n", 1)[1]]
+    rows = [{"seq": k, "content": b} for k, b in enumerate(bodies)] + [{"seq": 10 + k, "content": "# Code generated by maker; DO NOT EDIT.\n" + b} for k, b in enumerate(bodies)]
+    got = {r["id"]: r for r in origin.described(code(rows), "seq", "content", "max_stars_repo_name", "max_stars_repo_path").collect()}
+    names = [f"f{k}" for k in range(len(origin.FEATURES))]
+    for k in range(3):
+        assert got[k]["label"] is None and got[10 + k]["label"] == 1
+        assert [got[k][n] for n in names] == [got[10 + k][n] for n in names]
+
+
 def test_forest_learns_a_rule_and_is_repeatable():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 5))
