@@ -23,15 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the bytes that the leaves of a plan read: joins above them do not blow it up."""
+def scan_splits(df: DataFrame) -> int | None:
+    """How many splits the largest file scan of a plan has at least, by the number and sizes of its files; None if the
+    plan reads anything but files."""
+    spark, most, splits = df.sparkSession, -1, None
+    width = int(str(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def spread(df: DataFrame, least_bytes: int = 64 << 20) -> DataFrame:
-    """More tasks over an input that is a few small files; larger inputs come in enough splits and are not shuffled."""
-    return df if scan_bytes(df) > least_bytes else df.repartition(max(2, df.sparkSession.sparkContext.defaultParallelism))
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation" or leaf.relation().getClass().getSimpleName() != "HadoopFsRelation":
+            return None
+        location = leaf.relation().location()
+        size = location.sizeInBytes()
+        if size > most:
+            most, splits = size, max(len(location.inputFiles()), size // width)
+    return splits
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of so few files that its splits would leave over half of the cores idle is dealt over them before Python
+    work; any other is taken as it is split. Sizes do not matter, so an input of many files has the same plan at every size."""
+    cores, splits = df.sparkSession.sparkContext.defaultParallelism, scan_splits(df)
+    return df.repartition(max(2, cores)) if splits is not None and 2 * splits < cores else df
 
 
 def code_rows(stack: DataFrame, repos: DataFrame) -> DataFrame:

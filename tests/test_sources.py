@@ -79,3 +79,14 @@ def test_samples_run_only_if_allowed(spark, monkeypatch):
     got = {(r["task_id"], r["sample_idx"]): r["passed"] for r in execute.outcomes(df, "mbpp", allow_untrusted_code=True).collect()}
     assert got == {("a", 0): True, ("a", 1): False, ("b", 0): False, ("c", 0): False, ("d", 0): False, ("e", 0): True}
     assert df.select(F.count("*")).first()[0] == 6
+
+
+def test_spreading_depends_on_files_alone(spark, tmp_path):
+    from quern.sources import tables
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(10).repartition(4).write.parquet(str(tmp_path / "four"))
+    one, four = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "four"))
+    assert tables.scan_splits(one) == 1 and tables.scan_splits(four) == 4 and tables.scan_splits(spark.range(5)) is None
+    assert tables.spread(one) is not one and tables.spread(four) is four
+    assert tables.spread(one).count() == 1000
