@@ -6,22 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.plans.durable import cut, shared_dir  # noqa: F401
-
-#: Inputs under this many bytes, often one file and so one task, are spread over the cores before Python work; larger ones come in enough splits.
-SMALL_INPUT = 64 << 20
+from quern.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """The named table, pruned to the columns, spread over the cores if it is small."""
+    """The named table, pruned to the columns; a table of fewer files than half of the cores is dealt over them."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    small = scan_bytes(df) <= SMALL_INPUT
-    df = df.select(*columns) if columns else df
-    return df.repartition(max(2, spark.sparkContext.defaultParallelism)) if small else df
-
-
-def scan_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the input's bytes on disk."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return spread(df.select(*columns) if columns else df)
 
 
 def salted_rank(df: DataFrame, keys: list[str], order: list[str], out: str, salts: int | None = None) -> DataFrame:
