@@ -106,3 +106,48 @@ def test_one_class_of_copies_and_an_empty_table(code, source):
     df = code([{"seq": i, "content": source(1)} for i in range(40)])
     assert neardup.row_pairs(*neardup.similar_classes(df)).count() == 40 * 39 // 2
     assert neardup.row_pairs(*neardup.similar_classes(code([]))).count() == 0
+
+
+@pytest.mark.parametrize("width", [2, 3, 4])
+def test_two_errors_in_a_band_always_leave_a_common_key(width):
+    rng = np.random.default_rng(width)
+    a = rng.integers(0, 1 << 23, (4000, width))
+    b = a.copy()
+    for i in range(len(b)):
+        for bit in rng.choice(23 * width, int(rng.integers(0, 3)), replace=False):
+            b[i, bit // 23] ^= 1 << int(bit % 23)
+    (at_a, key_a), (at_b, key_b) = neardup.keys(a, width), neardup.keys(b, width)
+    both = set(zip(at_a.tolist(), key_a.tolist())) & set(zip(at_b.tolist(), key_b.tolist()))
+    assert {i for i, _ in both} == set(range(len(a)))
+
+
+def test_keys_of_random_bands_seldom_meet():
+    rng = np.random.default_rng(9)
+    at, key = neardup.keys(rng.integers(0, 1 << 23, (5000, 2)), 2)
+    assert 8 < len(key) / 5000 < 11
+    assert (np.unique(key, return_counts=True)[1] > 20).sum() == 0
+
+
+@pytest.mark.parametrize("size", [96, 400, 2000])
+def test_recall_at_the_threshold(size):
+    rng = np.random.default_rng(size)
+    width, bands = neardup.shape(size)
+    common = round(2 * size * 0.85 / 1.85)
+    sets = [[], []]
+    for _ in range(1500):
+        u = rng.integers(1, 1 << 63, common, dtype=np.uint64)
+        for s in sets:
+            s.append(np.sort(neardup._mix(np.concatenate((u, rng.integers(1, 1 << 63, size - common, dtype=np.uint64))))))
+    prints = [neardup.sketch(s, width * bands) for s in sets]
+    found = [set(zip(*(x.tolist() for x in neardup.keys(p, width)))) for p in prints]
+    met = {i for i, _ in found[0] & found[1]}
+    assert len(met) >= 1497
+    differ = np.array([[bin(x ^ y).count("1") for x, y in zip(p, q)] for p, q in zip(*(p.tolist() for p in prints))]).sum(axis=1)
+    assert (differ <= neardup.allowed_bits(0.85, width * bands * golay.LENGTH)).all()
+
+
+def test_wider_bands_give_the_same_pairs(code, texts, monkeypatch):
+    monkeypatch.setattr(neardup, "shape", lambda rows: neardup.SHAPES[1][:2])
+    df = code([{"seq": i, "content": t} for i, t in list(texts.items())[:80]])
+    got = {tuple(r) for r in neardup.row_pairs(*neardup.similar_classes(df)).collect()}
+    assert got == brute(dict(list(texts.items())[:80]))
