@@ -12,7 +12,7 @@ with probability (1 - similarity) / 2; more errors in every band at once are lef
 fewer above). Random meetings grow with the rows, so ``shape`` widens the bands with their number,
 and adds bands, so that a row meets a bounded number of others by chance.
 
-A key row carries the size and 64 bits of the fingerprint, so the join itself drops random meetings before anything is
+A key row carries the size and 24 bits of the fingerprint in one number, so the join itself drops random meetings before anything is
 shuffled again. Texts that share a key and are close in size and in the whole fingerprint are compared exactly.
 
 Exact copies are one class, represented by its smallest id, so a class takes part in the search once however many rows
@@ -44,6 +44,8 @@ THRESHOLD = 0.85
 MIN_CHARS = 100
 #: Fingerprint bits that may differ: so many standard deviations above what the threshold lets expect.
 SLACK = 5.5
+#: Fingerprint bits that a key row carries.
+WORD = 24
 #: Segments a permutation: few bins, so that short texts leave few of them empty.
 SEGMENTS_EACH = 3
 #: (segments a band, bands, rows up to which a row meets some sixty others by chance); each shape misses about 1 in 10,000 pairs at similarity 0.85.
@@ -185,7 +187,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, segments: int, min_chars
 
 
 def key_rows(reps: DataFrame, width: int, bands: int) -> DataFrame:
-    """(key, id, size, word): the search keys of each representative, with 64 bits of its fingerprint."""
+    """(key, id, mark): the search keys of each representative; its mark is its size and WORD bits of its fingerprint."""
     names = _parts(width * bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,11 +197,12 @@ def key_rows(reps: DataFrame, width: int, bands: int) -> DataFrame:
                 ids, sizes = part.column(0).to_numpy(), part.column(1).to_numpy()
                 packed = np.stack([part.column(2 + k).to_numpy() for k in range(len(names))], axis=1)
                 segments = np.stack((packed & (1 << golay.LENGTH) - 1, packed >> golay.LENGTH), axis=2).reshape(len(ids), -1)[:, : width * bands]
-                word = segments[:, 0] | segments[:, 1] << 23 | segments[:, 2] << 46  # the top bits of the third fall out
+                # Half from the first and half from the last band, of which a pair that meets in one band has one at least by chance.
+                mark = sizes.astype(np.int64) << WORD | (segments[:, 0] & (1 << WORD // 2) - 1) << WORD // 2 | segments[:, -1] & (1 << WORD // 2) - 1
                 at, key = keys(segments, width)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at]), pa.array(sizes[at]), pa.array(word[at])], ["key", "id", "size", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[at]), pa.array(mark[at])], ["key", "id", "mark"])
 
-    return reps.select("id", "size", *names).mapInArrow(run, "key long, id long, size int, word long")
+    return reps.select("id", "size", *names).mapInArrow(run, "key long, id long, mark long")
 
 
 def allowed_bits(threshold: float, n: int) -> int:
@@ -219,9 +222,10 @@ def similar_classes(df: DataFrame, id_col: str = "seq", text_col: str = "content
     reps = cut(all_rows.drop("h1", "h2").join(is_rep, "id", "left_semi").dropDuplicates(["id"]), "neardup-reps")
 
     k = key_rows(reps, width, bands)
-    a, b = k.toDF("key", "a", "size_a", "word_a"), k.toDF("key", "b", "size_b", "word_b")
-    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    near = F.bit_count(F.col("word_a").bitwiseXOR(F.col("word_b"))) <= allowed_bits(threshold, 64)
+    a, b = k.toDF("key", "a", "mark_a"), k.toDF("key", "b", "mark_b")
+    size_a, size_b = F.shiftright("mark_a", WORD), F.shiftright("mark_b", WORD)
+    small, large = F.least(size_a, size_b), F.greatest(size_a, size_b)
+    near = F.bit_count(F.col("mark_a").bitwiseXOR(F.col("mark_b")).bitwiseAND(F.lit((1 << WORD) - 1))) <= allowed_bits(threshold, WORD)
     met = a.join(b, "key").filter((F.col("a") < F.col("b")) & (small >= F.lit(threshold) * large) & near).select("a", "b").distinct()
     left = reps.select(F.col("id").alias("a"), *[F.col(s).alias(f"a_{s}") for s in names])
     right = reps.select(F.col("id").alias("b"), *[F.col(s).alias(f"b_{s}") for s in names])
