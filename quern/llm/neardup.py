@@ -17,7 +17,8 @@ shuffled again. Texts that share a key and are close in size and in the whole fi
 
 Exact copies are one class, represented by its smallest id, so a class takes part in the search once however many rows
 it has; classes are made by a partial aggregation, never by collecting a group. Keys, candidates and texts travel by
-shuffle joins, whose hot partitions AQE splits; nothing of the corpus is broadcast or collected, and no bucket is capped.
+shuffle joins, whose hot partitions AQE splits; nothing of the corpus is collected, nothing but a counted number of ids is
+broadcast, and no bucket is capped.
 
 Defined results: null texts and texts under ``min_chars`` characters after normalisation match nothing; rows with a null
 id are left out; of rows with equal ids one counts; identical texts are pairs of similarity 1.
@@ -44,6 +45,8 @@ THRESHOLD = 0.85
 MIN_CHARS = 100
 #: Fingerprint bits that may differ: so many standard deviations above what the threshold lets expect.
 SLACK = 5.5
+#: Up to so many ids of candidates (64 MB as a hash table) are broadcast to pick their texts where they are scanned.
+BROADCAST_IDS = 4_000_000
 #: Fingerprint bits that a key row carries.
 WORD = 24
 #: Segments a permutation: few bins, so that short texts leave few of them empty.
@@ -234,6 +237,8 @@ def similar_classes(df: DataFrame, id_col: str = "seq", text_col: str = "content
 
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     needed = close.select(F.col("a").alias("id")).unionByName(close.select(F.col("b").alias("id"))).distinct()
+    if 2 * close.count() <= BROADCAST_IDS:  # else both sides travel
+        needed = F.broadcast(needed)
     texts = texts.join(needed, "id", "left_semi").dropDuplicates(["id"])
     pairs = close.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
     return verified(pairs, threshold), members
