@@ -1,9 +1,12 @@
 """Problem 8: filling containers of fixed capacity by a configuration linear program over the length histogram.
 
 A configuration is a multiset of length classes that fits into one container. The program "fewest containers such that
-every class is covered" is solved by multiplicative weights: the weight of a class falls as it gets covered, and an
-unbounded-knapsack dynamic program prices the best configuration under the weights. The fractional solution is rounded
-down; what remains (at most a few items a configuration) is packed best-fit decreasing. The driver sees the histogram
+every class is covered" is solved by multiplicative weights: a class starts with its size as weight (the dual solution of
+the volume bound), its weight falls as it gets covered, and an unbounded-knapsack dynamic program prices the
+configurations. One table of the program prices the best configuration of every class, so a round takes a step along all
+that are nearly best and share no class. Rounds end where the dual bound, the total weight over the best price, shows that
+the covering is within ``GAP``, or after ``ROUNDS``. The fractional solution is rounded down; what remains is packed
+best-fit decreasing. The driver sees the histogram
 only, which has at most ``capacity`` rows whatever the corpus holds; items meet their containers through a salted rank
 within the class and a broadcast table bounded by the number of configurations.
 
@@ -24,60 +27,87 @@ from quern.llm.common import cut, salted_rank
 CAPACITY = 2048
 #: Lengths are rounded up to a multiple of this for pricing, so the program has at most capacity / GRAIN classes.
 GRAIN = 4
-ROUNDS = 1500
+#: Rounds at most, gap to the dual bound at which they end, how fast weights fall, share of a class that a step covers, and how much under the best price a configuration may be.
+ROUNDS, GAP, FALL, STEP, NEAR = 300, 0.005, 0.5, 0.2, 0.1
 
 
-def price(weights: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """The multiplicities of the configuration with the greatest total weight (unbounded knapsack)."""
+def prices(weights: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each capacity up to the given one the greatest total weight (unbounded knapsack) and the class taken last, -1 for
+    a unit left free; sizes ascend."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(sizes)
-    s, w = sizes[order], weights[order]
-    fits = np.searchsorted(s, np.arange(capacity + 1), side="right")
+    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -1
+        best[c] = best[c - 1]
         k = fits[c]
         if k:
-            gain = best[c - s[:k]] + w[:k]
+            gain = best[c - sizes[:k]] + weights[:k]
             j = int(gain.argmax())
             if gain[j] > best[c] + 1e-15:
                 best[c], pick[c] = gain[j], j
-    out, c = np.zeros(len(sizes), int), capacity
+    return best, pick
+
+
+def configuration(first: int, pick: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
+    """Class -> multiplicity of the best configuration that holds an item of the first class."""
+    out, c = {first: 1}, capacity - int(sizes[first])
     while c > 0:
-        if pick[c] < 0:
+        j = int(pick[c])
+        if j < 0:
             c -= 1
         else:
-            out[order[pick[c]]] += 1
-            c -= int(s[pick[c]])
+            out[j] = out.get(j, 0) + 1
+            c -= int(sizes[j])
     return out
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, eps: float = 0.1) -> dict[tuple, float]:
-    """Configurations and how often each is used, covering every class at least counts times (fractional)."""
-    covered, used = np.zeros(len(sizes)), {}
-    for _ in range(rounds):
-        w = np.exp(-(covered - covered.min()) / eps) / counts
-        m = price(w / w.max(), sizes, capacity)
-        m = np.minimum(m, counts)
-        on = m > 0
-        step = eps * (counts[on] / m[on]).min()
-        covered[on] += step * m[on] / counts[on]
-        key = tuple((int(i), int(m[i])) for i in np.flatnonzero(m))
-        used[key] = used.get(key, 0.0) + step
-    low = covered.min()
-    if low <= 0:
+def solve(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS, gap: float = GAP) -> dict[tuple, float]:
+    """Configurations and how often each is used, covering every class at least counts times (fractional). Rounds go on
+    beyond their number while a class is not covered at all; none are no solution."""
+    if not rounds or not len(sizes):
         return {}
-    return {k: x / low for k, x in used.items()}
+    covered, used = np.zeros(len(sizes)), {}
+    total = bound = 0.0
+    done = 0
+    while done < rounds or covered.min() <= 0:
+        w = sizes * np.exp(-FALL * (covered - covered.min()))
+        best, pick = prices(w / w.max(), sizes, capacity)
+        value = w / w.max() + best[capacity - sizes]
+        bound = max(bound, float((w * counts).sum() / w.max() / best[capacity]))
+        busy: set[int] = set()
+        for i in np.argsort(covered, kind="stable").tolist():
+            if i in busy or value[i] < (1 - NEAR) * best[capacity] and covered[i] > 0:
+                continue
+            m = configuration(i, pick, sizes, capacity)
+            if busy & m.keys():
+                continue
+            busy |= m.keys()
+            step = STEP * min(counts[j] / x for j, x in m.items())
+            for j, x in m.items():
+                covered[j] += step * x / counts[j]
+            total += step
+            key = tuple(sorted(m.items()))
+            used[key] = used.get(key, 0.0) + step
+        done += 1
+        low = covered.min()
+        if low > 0 and total / low <= bound * (1 + gap):
+            break
+    return {k: x / covered.min() for k, x in used.items()}
+
+
+def fitting_grain(capacity: int, grain: int = GRAIN) -> int:
+    """The largest divisor of the capacity up to the grain: rounded sizes then never overfill a container."""
+    return next(g for g in range(min(grain, capacity), 0, -1) if capacity % g == 0)
 
 
 def plan(hist: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, rounds: int = ROUNDS) -> pd.DataFrame:
     """Rows (cls, lo, hi, base, per, slot): items of the class with rank in [lo, hi) go to container
     base + (rank - lo) div per, at place slot + (rank - lo) mod per inside it."""
-    unit = -(-capacity // grain) if capacity % grain else capacity // grain
+    unit = capacity // fitting_grain(capacity, grain)
     sizes = np.array(sorted(hist), int)
     left = np.array([hist[int(s)] for s in sizes], np.int64)
     taken = np.zeros(len(sizes), np.int64)
     rows, container = [], 0
-    configs = solve(sizes, left.copy(), unit, rounds) if left.sum() > len(sizes) else {}
+    configs = solve(sizes, left.copy(), unit, rounds)
     for config, x in sorted(configs.items(), key=lambda kv: (-sum(sizes[i] * m for i, m in kv[0]), -kv[1], kv[0])):
         n = min([int(x), *(int(left[i] // m) for i, m in config)])
         if n <= 0:
@@ -122,6 +152,7 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, rou
 def fill(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", capacity: int = CAPACITY, grain: int = GRAIN, rounds: int = ROUNDS) -> DataFrame:
     """(id_col, piece, container, offset, n_tokens) of every row with a positive size."""
     spark = sizes.sparkSession
+    grain = fitting_grain(capacity, grain)
     kind = sizes.schema[id_col].dataType
     n = F.col(size_col)
     # A row number stands for rows whose id repeats or is null.

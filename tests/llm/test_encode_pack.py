@@ -105,15 +105,51 @@ def test_fill_nothing(spark):
     assert pack.summary(pack.fill(spark.createDataFrame([], "doc_id long, n_tokens int"))).first()["containers"] == 0
 
 
-def test_price_is_the_best_configuration():
+def test_prices_are_those_of_the_best_configurations():
     rng = np.random.default_rng(1)
     for _ in range(20):
         sizes = np.unique(rng.integers(1, 12, 4))
         w = rng.random(len(sizes))
-        m = pack.price(w, sizes, 17)
-        assert (m * sizes).sum() <= 17
-        best = max(sum(a * x for a, x in zip(c, w)) for c in np.ndindex(*[17 // s + 1 for s in sizes]) if sum(a * s for a, s in zip(c, sizes)) <= 17)
-        assert (m * w).sum() == pytest.approx(best)
+        every = [c for c in np.ndindex(*[17 // s + 1 for s in sizes]) if sum(a * s for a, s in zip(c, sizes)) <= 17]
+        best, pick = pack.prices(w, sizes, 17)
+        assert best[17] == pytest.approx(max(np.dot(c, w) for c in every))
+        for i in range(len(sizes)):
+            m = pack.configuration(i, pick, sizes, 17)
+            assert sum(sizes[j] * x for j, x in m.items()) <= 17
+            assert sum(w[j] * x for j, x in m.items()) == pytest.approx(max(np.dot(c, w) for c in every if c[i]))
+
+
+def test_the_program_covers_within_a_gap_and_loses_little_by_rounding():
+    rng = np.random.default_rng(4)
+    sizes = np.unique(rng.integers(20, 400, 60))
+    counts = rng.integers(5_000, 50_000, len(sizes))
+    used = pack.solve(sizes, counts, 512)
+    held = np.zeros(len(sizes))
+    for config, x in used.items():
+        assert sum(sizes[i] * m for i, m in config) <= 512
+        for i, m in config:
+            held[i] += m * x
+    assert (held >= counts * (1 - 1e-9)).all() and sum(used.values()) < 1.15 * (sizes * counts).sum() / 512
+
+    def containers(rounds):
+        t = pack.plan(dict(zip(sizes.tolist(), counts.tolist())), 512, 1, rounds)
+        return int((t.base + (t.hi - t.lo - 1) // t.per).max()) + 1
+
+    assert containers(pack.ROUNDS) < 1.01 * (sizes * counts).sum() / 512 + 0.002 * containers(0) + 1 or containers(pack.ROUNDS) < 1.002 * containers(0)
+
+
+def test_capacities_that_are_no_multiple_of_the_grain(spark):
+    assert [pack.fitting_grain(c, 4) for c in (2048, 10, 9, 7, 1)] == [4, 2, 3, 1, 1]
+    for capacity, grain in ((10, 4), (9, 4), (7, 4), (1001, 4)):
+        rnd = random.Random(capacity)
+        sizes = [(i, rnd.randint(1, 4 * capacity // 3)) for i in range(300)]
+        rows = pack.fill(spark.createDataFrame(sizes, "doc_id long, n_tokens int"), capacity=capacity, grain=grain).collect()
+        check_fill(rows, sizes, capacity)
+
+
+def test_fewer_items_than_classes_and_a_class_of_one():
+    assert _containers(pack.plan({500: 1, 12: 1})) == (1, 512) and _containers(pack.plan({512: 1, 1: 1})) == (2, 512)
+    assert _containers(pack.plan({300: 100_000, 200: 1, 12: 3}, 512, 1))[0] == 100_000
 
 
 def _containers(table):
