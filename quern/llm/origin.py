@@ -40,8 +40,8 @@ SAMPLE = 8000
 #: From this score on the forest marks a file.
 SURE = 0.84
 TREES, DEPTH, CUTS, SEED = 96, 8, 32, 11
-#: Background points a labelled row of the sample.
-BACKGROUND = 0.5
+#: Background points a row of the first class in the sample; a fixed ratio keeps scores alike at every size.
+BACKGROUND = 2.0
 FEATURES = ("compression", "token_entropy", "char_entropy", "identifier_length", "short_identifiers", "comment_density", "line_length", "longest_line", "digits", "marks", "spaces", "distinct_tokens", "repeated_shape", "literals", "keywords", "statements_a_line")
 
 #: Directories for third-party code (fixed values).
@@ -307,7 +307,7 @@ def fit_forest(rows: DataFrame, sample: int = SAMPLE) -> Forest | None:
         parts.append(rows.filter((F.col("label") == label) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))).limit(sample))
     got = parts[0].unionByName(parts[1]).select("id", "label", *names).toPandas().sort_values(["id", *names])
     x, y = got[names].to_numpy(np.float64), got["label"].to_numpy(np.int64)
-    more = background(x, np.array(ends[: 2 * len(names) : 2], float), np.array(ends[1 : 2 * len(names) : 2], float), int(BACKGROUND * min(sample, len(x))))
+    more = background(x, np.array(ends[: 2 * len(names) : 2], float), np.array(ends[1 : 2 * len(names) : 2], float), int(BACKGROUND * y.sum()))
     return Forest.fit(np.concatenate((x, more)), np.concatenate((y, np.ones(len(more), np.int64))))
 
 
