@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators.prefix import running_sum
@@ -26,15 +27,20 @@ def chunk_span(placed: DataFrame, total: int, size: int = CHUNK, tokens: str = "
 def chunk_split(spark: SparkSession, chunks: int, share: float = VAL_SHARE, seed: int = SEED) -> DataFrame:
     """(chunk_id, split): max(1, share of the chunks) go to val, the first by the hash of id and seed; the rest to train.
 
-    The sample is of exact size: the threshold is the n-th smallest hash, found by a bounded top-k, not a Bernoulli draw.
-    No chunk gives no rows."""
+    The sample is of exact size, not a Bernoulli draw: a histogram over the first 16 bits of the hash (at most 65,536 rows
+    pass the driver) gives the bucket in which the n-th smallest lies; only that bucket, a 65,536th of the chunks, is
+    ranked. No chunk gives no rows."""
     key = F.md5(F.concat(F.col("chunk_id").cast("string"), F.lit(f"-{seed}")))
-    ids = spark.range(chunks).select(F.col("id").alias("chunk_id")).withColumn("key", key)
-    if chunks == 0:
-        return ids.select("chunk_id", F.lit("val").alias("split"))
-    n = max(1, int(chunks * share))
-    val = ids.orderBy("key", "chunk_id").limit(n).select("chunk_id", F.lit("val").alias("split"))
-    return ids.select("chunk_id").join(val, "chunk_id", "left").select("chunk_id", F.coalesce("split", F.lit("train")).alias("split"))
+    ids = spark.range(chunks).select(F.col("id").alias("chunk_id")).withColumn("key", key).withColumn("bucket", F.conv(F.substring("key", 1, 4), 16, 10).cast("int"))
+    left, edge = max(1, int(chunks * share)), -1
+    for bucket, n in sorted((r["bucket"], r["n"]) for r in ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()):
+        edge = bucket
+        if n >= left:
+            break
+        left -= n
+    clear = ids.filter(F.col("bucket") != edge).select("chunk_id", F.when(F.col("bucket") < edge, "val").otherwise("train").alias("split"))
+    rank = F.row_number().over(W.partitionBy("bucket").orderBy("key", "chunk_id"))
+    return clear.unionByName(ids.filter(F.col("bucket") == edge).select("chunk_id", F.when(rank <= left, "val").otherwise("train").alias("split")))
 
 
 def batch_rows(spark: SparkSession, tokens: int, context: int, rows: int, batch: int, start: int = 0) -> DataFrame:

@@ -30,6 +30,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that the cluster knows; none if it does not exist."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 _registered: set[str] = set()
 
 

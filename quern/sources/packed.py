@@ -57,8 +57,15 @@ class _Reader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x), dtype=np.int64) + p.base), pa.array(x.astype(np.int32))], ["pos", "token"])
 
 
+def mounted(path: str) -> str:
+    """A path that every executor sees under the same name; other file systems are refused, not written to local disks."""
+    if "://" in path.removeprefix("file://"):
+        raise ValueError(f"token files need a mounted path, not {path}")
+    return path.removeprefix("file://")
+
+
 def part_files(path: str) -> list[str]:
-    path = path.removeprefix("file://")
+    path = mounted(path)
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     return sorted(os.path.join(path, x) for x in os.listdir(path) if x.endswith(".bin")) if os.path.isdir(path) else [path]
@@ -81,7 +88,7 @@ def write(encoded: DataFrame, ids: str, folder: str) -> dict:
 
     Every task writes its own file under a name that holds its number, through a rename, so a repeated attempt replaces
     and never appends."""
-    folder = folder.removeprefix("file://")
+    folder = mounted(folder)
     if os.path.exists(folder):
         raise FileExistsError(folder)
     os.makedirs(folder)

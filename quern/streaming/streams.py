@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quern.operators import dedup, quality
+from quern.plans.durable import children
 
 
 def clean_to_jsonl(stream: DataFrame, text: str, tag: str, out: str, checkpoint: str) -> StreamingQuery:
@@ -20,26 +19,26 @@ def clean_to_jsonl(stream: DataFrame, text: str, tag: str, out: str, checkpoint:
 def dedup_stream(stream: DataFrame, id_col: str, text_col: str, state: str, out: str, checkpoint: str) -> StreamingQuery:
     """Near-duplicate removal over micro-batches with the keep-first result of one pass over all of them.
 
-    The index of the kept rows' bands is a table that every batch joins and extends, so state is bounded by storage, not
+    The index of the kept rows' bands is a table on any file system of the cluster that every batch joins and extends, so state is bounded by storage, not
     by memory. Each batch writes its own folder, named by the batch, so a batch that is run again replaces its rows. Ids
     must grow with the batches, as the order of the stream is the order of the ids."""
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         banded = dedup.bands(dedup.signatures(batch, id_col, text_col)).persist()
-        old = sorted(x for x in (os.listdir(state) if os.path.isdir(state) else []) if x.startswith("batch=") and int(x[6:]) < number)
+        old = [x for x in children(spark, state) if x.startswith("batch=") and int(x[6:]) < number]
         hit = spark.createDataFrame([], "id long")
         if old:
-            known = spark.read.parquet(*[os.path.join(state, x) for x in old])
+            known = spark.read.parquet(*[f"{state}/{x}" for x in old])
             hit = banded.join(known.select("band", "hash"), ["band", "hash"], "left_semi").select("id").distinct()
         fresh = banded.join(hit, "id", "left_anti")
         if fresh.limit(1).count():
             kept = dedup.keep_first(fresh)
             verdict = kept.unionByName(hit.select("id", F.lit(False).alias("kept")))
-            fresh.join(kept.filter("kept").select("id"), "id", "left_semi").select("band", "hash").write.mode("overwrite").parquet(os.path.join(state, f"batch={number}"))
+            fresh.join(kept.filter("kept").select("id"), "id", "left_semi").select("band", "hash").write.mode("overwrite").parquet(f"{state}/batch={number}")
         else:
             verdict = hit.select("id", F.lit(False).alias("kept"))
-        verdict.write.mode("overwrite").parquet(os.path.join(out, f"batch={number}"))
+        verdict.write.mode("overwrite").parquet(f"{out}/batch={number}")
         banded.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

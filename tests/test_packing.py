@@ -150,3 +150,17 @@ def test_golden_ids_and_bounds_of_the_encoder(spark):
     n = sum(len(fast.encode_ordinary(text)) for _ in range(20))
     assert n / (time.time() - began) > 500_000
     assert len(fast.encode_ordinary("x = 1\n" * 20_000)) > 0
+
+
+def test_token_files_refuse_paths_that_are_not_mounted():
+    with pytest.raises(ValueError, match="mounted"):
+        packed.part_files("hdfs://host/x")
+
+
+def test_chunk_split_takes_the_smallest_hashes(spark):
+    import hashlib
+
+    n = 3000
+    order = sorted(range(n), key=lambda i: (hashlib.md5(f"{i}-42".encode()).hexdigest(), i))
+    got = {r["chunk_id"] for r in packing.chunk_split(spark, n).filter("split = 'val'").collect()}
+    assert got == set(order[:150])

@@ -47,3 +47,12 @@ def test_event_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select sum(n) from sessions").first()[0] == 24
+
+
+def test_folders_are_listed_by_the_cluster_s_file_system(spark, tmp_path):
+    from quern.plans.durable import children
+
+    (tmp_path / "batch=1").mkdir()
+    (tmp_path / "batch=0").mkdir()
+    assert children(spark, f"file://{tmp_path}") == children(spark, str(tmp_path)) == ["batch=0", "batch=1"]
+    assert children(spark, str(tmp_path / "none")) == []
