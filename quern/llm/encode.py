@@ -25,7 +25,7 @@ from quern.functions.tokens import encode_text
 TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
 #: The pre-tokenizer of byte_bpe_50k (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-FRAGMENT = 1024
+FRAGMENT = 256
 #: Rows encoded at a time: the ids of one slice are Python integers until they are packed.
 SLICE = 512
 #: Cached fragments per worker; the cache is emptied when full, so memory stays bounded.
