@@ -8,9 +8,11 @@ Scripts without spaces (Chinese, Japanese, Thai) are segmented into words first:
 vocabulary that is written in the script, with the closed lists of particles, connectives and openers below; every run of
 letters is a lattice of its words, a word costs what its rank says, and the cheapest path gives the words on both sides of a
 gap. A final particle before and an opening word after speak for an end, a word that goes on with the sentence against
-it; see ``_gap_cost``. Behind a plain full stop the mark outweighs the words, and between two Thai letters the space
-does, as a Thai space is an end by definition; behind a quotation or bracket that has closed the words decide. Korean,
-Hindi and Arabic are spaced; there only the word after such a gap is looked up, in the same way.
+it; see ``_gap_cost``. They are set against the mark, by what it says alone (``_MARK_COSTS``): an ellipsis gives way to a
+connective unless a final particle stands before it, an exclamation or question mark to words that open no sentence, a full
+stop to case particles without a final particle before it; behind a quotation the word after decides, and a title or a
+bracket within a sentence ends it only before an opening word. A space between two Thai letters is an end by definition, so
+no words are asked there. Korean, Hindi and Arabic are spaced; there only the word after a quotation is looked up.
 
 Quotations, brackets and code spans are found as pairs beforehand; a terminator inside one ends nothing unless the pair
 closes right after it and nothing goes on.
@@ -85,9 +87,23 @@ _FINAL = {
     "th": "ครับ ค่ะ คะ นะ จ้ะ จ๊ะ แล้ว มาก เสมอ เลย ไหม หรือ ด้วย อีก".split(),
 }
 _ON["th"] = "ที่ ซึ่ง และ แต่ เพราะ โดย ว่า ของ".split()
-_OPEN["th"] = "เมื่อ ตั้งแต่ โปรด อย่า ทำไม ถ้า หาก ผม ฉัน เขา เรา นี่ ดังนั้น".split()
+_OPEN["th"] = "เมื่อ ตั้งแต่ โปรด อย่า ทำไม ถ้า หาก ผม ฉัน เขา เรา นี่ ดังนั้น ที่นี่ ที่นั่น แต่ละ".split()
+# Of the words that go on those that open no sentence, and what they cost before a letter that begins another word (fixed
+# values): quotatives outweigh all marks but a full stop, case particles that as well.
+_BOUND = {
+    "zh": {"的": 2.7, "的话": 2.7, "之类": 2.7, "之一": 2.7, "似的": 2.7},
+    "ja": {**dict.fromkeys("と って とは".split(), 2.7), **dict.fromkeys("という といった との として を は に の も へ".split(), 3.2)},
+    "th": {"ซึ่ง": 2.7},
+}
+for _s, _w in _BOUND.items():
+    _ON[_s] += [w for w in _w if w not in _ON[_s]]
+# Words that begin like one that goes on and are none (fixed values).
+_WHOLE = {"zh": "的确 的士 的哥 也许 就算 都市 后来 前天 再见 再次 和平 和谐 时间 时候 地方 地图 地址 得到 等待 说话 中午 与其 或许 及时".split()}
 _FUNCTION = {s: {**{w: "final" for w in _FINAL.get(s, ())}, **{w: "on" for w in _ON.get(s, ())}, **{w: "open" for w in _OPEN.get(s, ())}} for s in _ON}
 _CLOSES = {s: frozenset(w) for s, w in _FINAL.items()}
+# Ends of longer words of the vocabulary that close a sentence as well, and words that only look so (fixed values).
+_TAILS = {"zh": tuple("了 吗 呢 吧 啊 呀 嘛 啦".split()), "ja": tuple("です ます でした ました ません った ください でしょう ましょう だろう ですか ますか ませんか ましたか でしたか".split())}
+_NO_TAILS = frozenset("为了 除了".split())
 _HAN, _KANA, _THAI_LETTER = "㐀-鿿豈-﫿", "぀-ヿｦ-ﾟ", "ก-ฺเ-๎"
 #: A run of letters of scripts without spaces.
 _RUN = re.compile(f"[{_HAN}{_KANA}{_THAI_LETTER}]+")
@@ -112,7 +128,7 @@ class WordLattice:
                     word = base64.b64decode(token).decode("utf-8", "replace").strip()
                     if word and _IN_SCRIPT[script].match(word):
                         self.costs[word] = min(self.costs.get(word, _UNKNOWN), math.log2(int(rank) + 2))
-        for word in _FUNCTION[script]:
+        for word in [*_FUNCTION[script], *_WHOLE.get(script, ())]:
             self.costs[word] = min(self.costs.get(word, _UNKNOWN), _KNOWN)
         self.longest = max(map(len, self.costs), default=1)
 
@@ -187,11 +203,42 @@ def around(text: str, lo: int, stop: int, at: int, hi: int, script: str) -> tupl
     return before[-1], after[0]
 
 
-def _gap_cost(base: float, script: str, before: str, after: str) -> float:
+#: What a mark costs by itself: a full stop, an exclamation or question mark, an ellipsis; a mark with which a quotation closes,
+#: and one with which a title or a bracket within a sentence does.
+_MARK_COSTS = {"stop": -3.0, "call": -2.0, "ellipsis": -1.2, "quoted": -0.4, "inner": 0.3}
+
+
+def _gap_cost(base: float, script: str, before: str, after: str, bound: bool = False) -> float:
     """Cost of ending a unit between two words; below 0: likely an end. Final particles and openers speak for it, words
-    that go on with the sentence against it."""
+    that go on with the sentence against it, those that open no sentence (bound) more than others."""
     kind = _FUNCTION[script].get(after, "")
-    return base + (1.5 if kind == "on" else -0.5 if kind == "open" else 0.0) - (0.6 if before in _CLOSES.get(script, ()) else 0.0)
+    on = _BOUND[script].get(after, 1.5) if bound and script in _BOUND else 1.5
+    return base + (on if kind == "on" else -0.5 if kind == "open" else 0.0) - (0.6 if _closes(script, before) else 0.0)
+
+
+def _closes(script: str, word: str) -> bool:
+    return word in _CLOSES.get(script, ()) or word.endswith(_TAILS.get(script, ())) and word not in _NO_TAILS
+
+
+def _mark(run: str) -> str:
+    """The strongest mark of a run."""
+    return "stop" if any(c in "。｡।॥۔" for c in run) else "call" if any(c in "!?！？؟" for c in run) else "ellipsis"
+
+
+def _goes_into_a_word(text: str, at: int, hi: int) -> bool:
+    """Whether another word begins at `at`; Hiragana may as well go on with the one before, a mark makes it a connective."""
+    return at < hi and text[at].isalnum() and not "ぁ" <= text[at] <= "ゟ"
+
+
+def _within(text: str, lo: int, at: int) -> bool:
+    """Whether the bracket or title that opens at `at` stands in a sentence: a title always, a bracket unless one ends before it."""
+    if text[at] == "《":
+        return True
+    if text[at] not in "([（【":
+        return False
+    while at > lo and (text[at - 1].isspace() or text[at - 1] in _CLOSERS):
+        at -= 1
+    return at > lo and text[at - 1] not in _TERMINATORS and text[at - 1] not in ":："
 
 
 def _next_kind(text: str, at: int, end: int) -> str:
@@ -321,13 +368,17 @@ def _stretch(text: str, lo: int, hi: int, start: int) -> list[int]:
             script = kind
             if kind == "zh" and re.search(r"[぀-ヿ]", text[max(lo, a - 30) : min(hi, b + 30)]):
                 script = "ja"
-            if quoted or script in _IN_SCRIPT:
+            if quoted or script in _IN_SCRIPT and run != ".":
                 before, after = around(text, lo, a, at, hi, script)
-                # The mark itself: strong alone, weak where a quotation or bracket has closed behind it.
-                cost = _gap_cost(-0.4 if quoted else -3.0, script, before, after)
+                mark = _mark(run)
+                if quoted:
+                    mark = "inner" if _within(text, start, spans[k][0]) else "quoted"
+                    # What a title or bracket says does not close the sentence around it.
+                    before = "" if mark == "inner" else before
+                cost = _gap_cost(_MARK_COSTS[mark], script, before, after, _goes_into_a_word(text, at + len(after), hi))
                 if quoted and cost >= 0:
                     continue
-                if not quoted and run[0] not in ".…" or quoted and text[a] in "!！?？" and script in ("zh", "ja") and text[b : b + 1] not in ("", " "):
+                if not quoted or text[a] in "!！?？" and script in ("zh", "ja") and text[b : b + 1] not in ("", " "):
                     nodes.append((b, cost))
                     continue
         if quoted:
@@ -358,8 +409,8 @@ def _stretch(text: str, lo: int, hi: int, start: int) -> list[int]:
             while spans_at < len(spans) and spans[spans_at][1] <= a:
                 spans_at += 1
             if not (spans_at < len(spans) and spans[spans_at][0] < a < spans[spans_at][1]):
-                # A space between two Thai letters is an end by definition, so no word outweighs it.
-                nodes.append((a, _gap_cost(-2.0, "th", *around(text, lo, a, m.end(), hi, "th"))))
+                # A space between two Thai letters is an end by definition, whatever the words.
+                nodes.append((a, -2.0))
         nodes.sort()
     end = hi
     while end > lo and text[end - 1].isspace():

@@ -93,6 +93,69 @@ def test_particles_and_openers_shift_the_cost():
     assert cost(0, "zh", "了", "") < 0 < cost(0, "zh", "了", "但是") and cost(0, "ja", "です", "この") < cost(0, "ja", "です", "") < cost(0, "ja", "", "")
 
 
+#: Texts of two sentences that the mark alone would cut otherwise.
+WEIGHED = [
+    ("我想说……但是没有时间。", "再看。"),
+    ("彼は……と言った。", "次。"),
+    ("なぜ動く？と聞かれました。", "次。"),
+    ("すごい！との声が出た。", "次。"),
+    ("模块太慢！的喊声很大。", "再看。"),
+    ("モーニング娘。の新曲が出た。", "次。"),
+    ("他（门已经关了！）没有回来。", "再看。"),
+    ("他看了《加油！》节目。", "再看。"),
+    ("ดีมาก! ซึ่งดี", ""),
+]
+
+
+@pytest.mark.parametrize("parts", WEIGHED)
+def test_words_outweigh_a_mark(parts, monkeypatch):
+    text, cut = "".join(parts), len(parts[0])
+    inner = next(i for i, c in enumerate(text) if c in "…。！？!")
+    first = ends(text)[0]
+    assert inner < cut == first
+    monkeypatch.setattr(sentences, "_gap_cost", lambda base, *words: min(base, -0.1))
+    assert inner < ends(text)[0] < cut
+
+
+@pytest.mark.parametrize("text, end", [("他已经走了……但是门还开着。", "……"), ("終わりました……でも遅い。", "……"), ("動きます。の新曲が出た。", "。")])
+def test_final_particles_decide(text, end, monkeypatch):
+    cut = text.index(end) + len(end)
+    assert ends(text)[0] == cut
+    monkeypatch.setattr(sentences, "_closes", lambda script, word: False)
+    assert cut not in ends(text)
+
+
+@pytest.mark.parametrize("text", ["他读了书（很短！）这个模块好。", "我看了《加油！》他很高兴。"])
+def test_openers_decide(text, monkeypatch):
+    cut = max(text.find("）"), text.find("》")) + 1
+    assert ends(text)[0] == cut
+    monkeypatch.setitem(sentences._FUNCTION, "zh", {w: k for w, k in sentences._FUNCTION["zh"].items() if k != "open"})
+    assert cut not in ends(text)
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [["なぜ動く？", "でも速い。"], ["すごい！", "とりあえず保存します。"], ["真的吗？", "但是很慢。"], ["动作快！", "的确很好。"], ["没有了。", "然而还在。"], ["他没有来……", "后来我走了。"], ["动きます。", "が、遅い。"], ["第一句。", "（见第2章。）", "字典好。"]],
+)
+def test_words_that_outweigh_no_mark(parts):
+    assert units("".join(parts)) == parts
+
+
+def test_no_words_are_asked_at_a_space_of_thai(monkeypatch):
+    asked = []
+    monkeypatch.setattr(sentences, "around", lambda *a: asked.append(a) or ("", ""))
+    assert units("ดูแคช ซึ่งเร็ว และดี") == ["ดูแคช", "ซึ่งเร็ว", "และดี"] and not asked
+
+
+def test_gaps_take_linear_time():
+    import time
+
+    began = time.time()
+    for text in ("我……" * 100000, "（好！）" * 70000, "あ（" + " " * 100000 + "好！）の" * 50000, "す。の" * 100000):
+        ends(text)
+    assert time.time() - began < 20
+
+
 def test_marks_of_thai_stay_with_their_letters():
     import unicodedata
 
